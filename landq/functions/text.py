@@ -65,6 +65,11 @@ def survey_number(value: Column | str) -> Column:
     return F.upper(F.regexp_replace(normalize_numerals(raw), r"\s*([/\-_])\s*", "$1"))
 
 
+def strip(value: Column) -> Column:
+    """No white space of any kind at either end."""
+    return F.regexp_replace(value, r"^\s+|\s+$", "")
+
+
 def folded(value: Column, missing: list[str]) -> Column:
     """NULL where the trimmed lower-case value is one of the missing words."""
     return F.when(~F.lower(F.trim(value)).isin(missing), value)
@@ -72,7 +77,7 @@ def folded(value: Column, missing: list[str]) -> Column:
 
 def clean_value(value: Column | str) -> Column:
     """Surrounding `: = - , ;` and spaces removed; missing words become NULL."""
-    stripped = F.btrim(F.trim(_col(value).cast("string")), F.lit(":=-,; "))
+    stripped = F.btrim(strip(_col(value).cast("string")), F.lit(":=-,; "))
     return folded(stripped, dims.MISSING_CLEAN)
 
 

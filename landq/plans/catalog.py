@@ -6,7 +6,7 @@ import importlib
 
 from landq.plans.suite import Suite
 
-SECTIONS = ["tables", "filters", "joins", "rules", "duplicates", "reports"]
+SECTIONS = ["tables", "filters", "joins", "rules", "duplicates", "text", "reports"]
 
 
 def load() -> list[Suite]:
