@@ -12,6 +12,7 @@ from itertools import combinations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from landq import dims
 from landq.functions.text import extract, folded
@@ -113,14 +114,17 @@ def comparable(value: Column) -> Column:
     return F.regexp_replace(bare, r"\s+", " ")
 
 
-def lowest_ratio(values: list[str]) -> float:
-    return min(SequenceMatcher(None, a, b).ratio() for a, b in combinations(values, 2))
+def lowest_similarity(values: Column) -> Column:
+    """Lowest pairwise difflib ratio of the up to four texts of a row; rows already settled carry NULL.
 
+    The function is made here, so it travels to the executors by value and they need no copy of this package.
+    """
+    def lowest(texts):
+        return min(SequenceMatcher(None, a, b).ratio() for a, b in combinations(texts, 2))
 
-@F.pandas_udf("double")
-def lowest_similarity(values: pd.Series) -> pd.Series:
-    """Lowest pairwise ratio of the up to four values of a row; rows already settled carry NULL."""
-    return values.map(lambda v: None if v is None else lowest_ratio(list(v)), na_action="ignore").astype("float64")
+    def score(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda v: None if v is None else lowest(list(v))).astype("float64")
+    return F.pandas_udf(score, T.DoubleType())(values)
 
 
 def given_values() -> Column:

@@ -6,7 +6,7 @@ import importlib
 
 from landq.plans.suite import Suite
 
-SECTIONS = ["tables", "filters", "joins", "rules", "duplicates", "text", "reports"]
+SECTIONS = ["tables", "filters", "joins", "rules", "duplicates", "crossdoc", "text", "extraction", "confidence", "reports", "accuracy", "geometry"]
 
 
 def load() -> list[Suite]:
