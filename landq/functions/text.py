@@ -17,6 +17,16 @@ def extract(value: Column | str, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(_col(value), pattern, group), F.lit(""))
 
 
+def number_in(value: Column | str, pattern: str = "[0-9.]+", group: int = 0) -> Column:
+    """The matched text as a number, NULL where nothing matches or it does not parse."""
+    return F.regexp_extract(_col(value), pattern, group).try_cast("double")
+
+
+def let(value: Column, then) -> Column:
+    """`then(value)` with the value computed once, for expressions that use it several times."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def normalize_numerals(value: Column | str) -> Column:
     """Native digits of ten scripts as 0-9; NULL gives the empty text."""
     return F.translate(F.coalesce(_col(value), F.lit("")), dims.INDIC_DIGITS, dims.ASCII_DIGITS)
@@ -26,18 +36,15 @@ def land_area(value: Column | str) -> Column:
     """struct(original, acres, unit): the first unit in the fixed order that follows a number, else plain acres."""
     raw = F.trim(_col(value).cast("string"))
     text = F.lower(normalize_numerals(raw))
-    acres, unit = F.lit(None).cast("double"), F.lit(None).cast("string")
-    bare = extract(text, r"[0-9.]+", 0).try_cast("double")
-    steps = [(extract(text, r"([0-9.]+)\s*" + pattern).try_cast("double"), factor, name)
-             for pattern, factor, name in dims.AREA_UNITS] + [(bare, 1.0, "Acres")]
-    for number, factor, name in reversed(steps):
-        acres = F.when(number.isNotNull(), F.round(number * F.lit(factor), 4)).otherwise(acres)
-        unit = F.when(number.isNotNull(), F.lit(name)).otherwise(unit)
-    blank = raw.isNull() | (raw == "")
-    return F.struct(
-        F.coalesce(raw, F.lit("")).alias("original"),
-        F.when(~blank, acres).alias("acres"),
-        F.when(blank, F.lit("Unknown")).otherwise(F.coalesce(unit, F.lit("Unspecified"))).alias("unit"))
+    steps = [(number_in(text, r"([0-9.]+)\s*" + pattern, 1), factor, name) for pattern, factor, name in dims.AREA_UNITS]
+    steps.append((number_in(text), 1.0, "Acres"))
+    measured = F.coalesce(*[
+        F.when(number.isNotNull(), F.struct(F.round(number * F.lit(factor), 4).alias("acres"), F.lit(name).alias("unit")))
+        for number, factor, name in steps])
+    unread = F.struct(F.lit(None).cast("double").alias("acres"),
+                      F.when(F.coalesce(raw, F.lit("")) == "", "Unknown").otherwise("Unspecified").alias("unit"))
+    return let(F.struct(F.coalesce(raw, F.lit("")).alias("original"), F.coalesce(measured, unread).alias("m")),
+               lambda x: F.struct(x["original"].alias("original"), x["m"]["acres"].alias("acres"), x["m"]["unit"].alias("unit")))
 
 
 def parse_date(value: Column | str) -> Column:
@@ -83,7 +90,7 @@ def clean_value(value: Column | str) -> Column:
 
 def first_number(value: Column | str) -> Column:
     """The first run of digits and dots as a number, 0 where there is none or it does not parse."""
-    return F.coalesce(extract(_col(value).cast("string"), "[0-9.]+", 0).try_cast("double"), F.lit(0.0))
+    return F.coalesce(number_in(_col(value).cast("string")), F.lit(0.0))
 
 
 def party_name(value: Column | str) -> Column:

@@ -184,8 +184,9 @@ def trace_fields(values: DataFrame, lines: DataFrame, aliases: dict[str, list[st
     text = F.lower("text")
     alias_rank = F.array_min(F.transform("terms", lambda t, i: F.when(F.contains(text, t), i + 1)))
     rank = F.when(F.contains(text, F.col("needle")), F.lit(0)).otherwise(alias_rank)
-    line = F.struct(rank.alias("rank"), "line_no", F.col("text").alias("source_text"), "confidence", "x1", "y1", "x2", "y2")
-    best = (usable.join(lines, "doc_id").where(rank.isNotNull())
+    line = F.struct(rank.alias("rank"), "line_no", F.col("text").alias("source_text"), F.col("line_confidence").alias("confidence"), "x1", "y1", "x2", "y2")
+    lines = lines.withColumnRenamed("confidence", "line_confidence")
+    best = (usable.select("doc_id", "field_name", "needle", "terms").join(lines, "doc_id").where(rank.isNotNull())
             .groupBy("doc_id", "field_name").agg(F.min(line).alias("line")))
     box = F.when(F.col("line").isNotNull(), F.struct(
         F.col("line.x1").alias("x"), F.col("line.y1").alias("y"),

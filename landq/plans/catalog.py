@@ -6,7 +6,8 @@ import importlib
 
 from landq.plans.suite import Suite
 
-SECTIONS = ["tables", "filters", "joins", "rules", "duplicates", "crossdoc", "text", "extraction", "confidence", "reports", "accuracy", "geometry"]
+SECTIONS = ["tables", "filters", "joins", "rules", "duplicates", "crossdoc", "text", "extraction", "confidence", "reports", "accuracy",
+            "workflow", "geometry", "streams"]
 
 
 def load() -> list[Suite]:

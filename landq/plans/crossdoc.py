@@ -27,9 +27,9 @@ def _(v):
     return crossdoc.dossier_select(v.lr, source_type="DOSSIER").select(*SHOWN)
 
 
-@q("XD01_dossier_select_survey", "select id, survey_number, village, document_type from lr where survey_number = '7/2A'", "lr")
+@q("XD01_dossier_select_survey", "select id, survey_number, village, document_type from lr where survey_number = '23/7A'", "lr")
 def _(v):
-    return crossdoc.dossier_select(v.lr, survey_number="7/2A").select(*SHOWN)
+    return crossdoc.dossier_select(v.lr, survey_number="23/7A").select(*SHOWN)
 
 
 @q("XD01_dossier_select_ids", "select id, survey_number, village, document_type from lr where id in (select record_id from actions)", "lr", "actions")
@@ -127,12 +127,12 @@ def _(v):
 
 
 @q("XD11_approve_dossier", """select id, 'APPROVED' as status, 'Officer Verified & Certified' as verification_status, 'PUBLISHED' as publication_status,
-   true as is_public, 'Digitized, Verified & Publicly Available' as document_status from lr where survey_number = '7/2A'""", "lr")
+   true as is_public, 'Digitized, Verified & Publicly Available' as document_status from lr where survey_number = '23/7A'""", "lr")
 def _(v):
-    return crossdoc.approve_dossier(crossdoc.dossier_select(v.lr, survey_number="7/2A")).select("id", *crossdoc.APPROVAL)
+    return crossdoc.approve_dossier(crossdoc.dossier_select(v.lr, survey_number="23/7A")).select("id", *crossdoc.APPROVAL)
 
 
 @q("XD11_approval_log", """select id as land_record_id, 'Senior Revenue Officer & Tahsildar' as officer_name, 'APPROVED_CONSISTENT' as action,
-   'Approved Title & Boundary Consistency across Parcel Dossier' as remarks from lr where survey_number = '7/2A'""", "lr")
+   'Approved Title & Boundary Consistency across Parcel Dossier' as remarks from lr where survey_number = '23/7A'""", "lr")
 def _(v):
-    return crossdoc.approval_log(crossdoc.dossier_select(v.lr, survey_number="7/2A"))
+    return crossdoc.approval_log(crossdoc.dossier_select(v.lr, survey_number="23/7A"))

@@ -47,7 +47,7 @@ SHOWN = ["id", "vector", "score", "conflict", "match_id"]
 
 
 def _files(v):
-    return v.table("documents").select("doc_id", F.col("doc_id").alias("land_record_id"), F.sha2("text", 256).alias("file_hash"),
+    return v.texts.select("doc_id", F.col("doc_id").alias("land_record_id"), F.sha2("text", 256).alias("file_hash"),
                                        F.col("text").alias("ocr_raw_text"))
 
 

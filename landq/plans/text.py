@@ -111,7 +111,7 @@ def _(v):
 
 @q("TX05_detect_language_documents", f"""with docs as (select doc_id, text from documents), {_language_ctes('docs')} {LANGUAGE_SQL.format('docs')}""")
 def _(v):
-    return v.table("documents").select("doc_id", script.detect_languages("text").alias("l")).select(
+    return v.texts.select("doc_id", script.detect_languages("text").alias("l")).select(
         "doc_id", "l.code", "l.script", "l.is_mixed", "l.summary")
 
 

@@ -276,14 +276,31 @@ class Views:
     def _exprs(columns: dict[str, str]) -> list[str]:
         return [f"{e} as {n}" for n, e in columns.items()]
 
-    @cached_property
-    def lr(self) -> DataFrame:
-        joined = (self.table("orders")
+    def spread(self, df: DataFrame) -> DataFrame:
+        """A plain scan in fewer splits than there are cores, spread over them; larger tables stay as they are split."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+    def _records(self, orders: DataFrame) -> DataFrame:
+        joined = (orders
                   .join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
                   .join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
                   .join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey")))
         return joined.selectExpr(*self._exprs(LR))
 
+    @cached_property
+    def lr(self) -> DataFrame:
+        return self._records(self.table("orders"))
+
+    @cached_property
+    def lr_texts(self) -> DataFrame:
+        """The records for work that is heavy on each text."""
+        return self._records(self.spread(self.table("orders")))
+
+    @cached_property
+    def texts(self) -> DataFrame:
+        return self.spread(self.table("documents"))
+
     @cached_property
     def cad(self) -> DataFrame:
         first = self.lr.groupBy("survey_number").agg(
@@ -295,16 +312,16 @@ class Views:
 
     @cached_property
     def deed(self) -> DataFrame:
-        return self.lr.selectExpr("id", "id as doc_id", "id as land_record_id", "document_type", "land_area",
+        return self.lr_texts.selectExpr("id", "id as doc_id", "id as land_record_id", "document_type", "land_area",
                                   f"{DEED_TEXT} as ocr_raw_text")
 
     @cached_property
     def typed(self) -> DataFrame:
-        return self.lr.selectExpr("id as doc_id", "document_type", f"{TYPED_TEXT} as ocr_raw_text")
+        return self.lr_texts.selectExpr("id as doc_id", "document_type", f"{TYPED_TEXT} as ocr_raw_text")
 
     @cached_property
     def indic(self) -> DataFrame:
-        return self.lr.selectExpr("id as doc_id", f"{INDIC_TEXT} as text")
+        return self.lr_texts.selectExpr("id as doc_id", f"{INDIC_TEXT} as text")
 
     @cached_property
     def reg(self) -> DataFrame:
