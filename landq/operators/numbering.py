@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landq import dims
-
 CANDIDATES = ["registration_number", "order_number", "document_number", "mutation_number"]
 
 

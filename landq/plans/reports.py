@@ -95,7 +95,7 @@ def _(v):
     return reports.corrections_by_field(v.corrections)
 
 
-@q("AG10_language_telemetry", """
+TELEMETRY_SQL = """
    with known as (select *, case when language_code in ('hi', 'te', 'ta', 'mr', 'kn', 'bn', 'gu', 'en') then language_code else 'en' end as code from verifications),
    steps as (select code, ts, event_id, corrections, 5 * row_number() over w - 2 * sum(corrections) over w as d from known
              window w as (partition by code order by ts, event_id)),
@@ -103,7 +103,10 @@ def _(v):
    start(code, language, a) as (values ('hi', 'Hindi', 9240::bigint), ('te', 'Telugu', 9310), ('ta', 'Tamil', 9180), ('mr', 'Marathi', 9200),
      ('kn', 'Kannada', 9150), ('bn', 'Bengali', 9090), ('gu', 'Gujarati', 9220), ('en', 'English', 9650))
    select s.code, language, case when ds is null then a else list_reduce(list_prepend(a, ds), lambda x, y: greatest(8000, least(9940, x + y))) end as accuracy,
-          coalesce(n, 0) as processed, coalesce(c, 0) as corrections from start s left join folds f on f.code = s.code""", "verifications")
+          coalesce(n, 0) as processed, coalesce(c, 0) as corrections from start s left join folds f on f.code = s.code"""
+
+
+@q("AG10_language_telemetry", TELEMETRY_SQL, "verifications")
 def _(v):
     return telemetry.language_telemetry(v.verifications)
 

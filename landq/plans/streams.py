@@ -9,7 +9,9 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from landq.plans.reports import TELEMETRY_SQL
 from landq.plans.suite import Suite
+from landq.plans.workflow import DONE, MIXED
 from landq.streaming import registrations, review
 
 suite = Suite()
@@ -56,7 +58,9 @@ def _(v):
     return append(registrations.stream_unique_registrations(_incoming(v, folder), "4000 days"), folder, "unique").select("registration_number")
 
 
-@q("ST03_stream_apply_actions")
+@q("ST03_stream_apply_actions", f"""with d as ({DONE.replace(MIXED, 'action')}) select l.id, coalesce(new_status, l.status) as status, coalesce(new_is_public, l.is_public) as is_public,
+   case when synced then coalesce(cadastral_area, land_area) else land_area end as land_area from lr l left join d on d.record_id = l.id left join cad on cad.survey_number = l.survey_number""",
+   "lr", "cad", "actions")
 def _(v):
     folder = work_folder(v.spark)
     v.lr.write.parquet(review.version_path(f"{folder}/records", 0))
@@ -66,7 +70,7 @@ def _(v):
     return review.latest_before(v.spark, f"{folder}/records", 1 << 40).select("id", "status", "is_public", "land_area")
 
 
-@q("ST04_stream_language_telemetry")
+@q("ST04_stream_language_telemetry", TELEMETRY_SQL.replace("end as accuracy", "end / 100.0::double as accuracy"), "verifications")
 def _(v):
     from landq import schemas
     folder = work_folder(v.spark)
