@@ -173,21 +173,23 @@ def trace_fields(values: DataFrame, lines: DataFrame, aliases: dict[str, list[st
                  first_aliases: int = 6) -> DataFrame:
     """Source line of each extracted value: the first line holding it, else holding an alias, else the value itself.
 
-    Pieces meet on the document id; each pair is ranked and reduced to the best line by a grouped minimum, which
-    combines ahead of the shuffle.
+    Values meet lines on the document id. A pair is ranked by one number, alias before line, and the lowest number per
+    value is a hash aggregate that combines ahead of the shuffle; the line it names is fetched afterwards.
     """
     wanted = {n: a[:first_aliases] for n, a in aliases.items()}
     table = F.create_map(*[x for n, a in wanted.items() for x in (F.lit(n), F.array(*[F.lit(t.lower()) for t in a]))])
-    keyed = values.withColumn("needle", F.lower(F.trim("value"))).withColumn(
-        "terms", F.coalesce(F.try_element_at(table, F.col("field_name")), F.array().cast("array<string>")))
-    usable = keyed.where(~F.coalesce("needle", F.lit("")).isin("not found", "none", ""))
-    text = F.lower("text")
-    alias_rank = F.array_min(F.transform("terms", lambda t, i: F.when(F.contains(text, t), i + 1)))
-    rank = F.when(F.contains(text, F.col("needle")), F.lit(0)).otherwise(alias_rank)
-    line = F.struct(rank.alias("rank"), "line_no", F.col("text").alias("source_text"), F.col("line_confidence").alias("confidence"), "x1", "y1", "x2", "y2")
-    lines = lines.withColumnRenamed("confidence", "line_confidence")
-    best = (usable.select("doc_id", "field_name", "needle", "terms").join(lines, "doc_id").where(rank.isNotNull())
-            .groupBy("doc_id", "field_name").agg(F.min(line).alias("line")))
+    usable = values.select("doc_id", "field_name", F.lower(F.trim("value")).alias("needle"),
+                           F.try_element_at(table, F.col("field_name")).alias("terms"))
+    usable = usable.where(~F.coalesce("needle", F.lit("")).isin("not found", "none", ""))
+    searched = lines.select("doc_id", "line_no", F.lower("text").alias("low"))
+    rank = F.when(F.contains("low", "needle"), 0)
+    for i in range(first_aliases):
+        rank = rank.when(F.contains("low", F.get("terms", F.lit(i))), i + 1)
+    place = rank.cast("bigint") * (1 << 40) + F.col("line_no")
+    best = (usable.join(searched, "doc_id").groupBy("doc_id", "field_name").agg(F.min(place).alias("place"))
+            .select("doc_id", "field_name", (F.col("place") % (1 << 40)).cast("int").alias("line_no")))
+    named = lines.select("doc_id", "line_no", F.struct(F.col("text").alias("source_text"), "confidence", "x1", "y1", "x2", "y2").alias("line"))
+    best = best.join(named, ["doc_id", "line_no"]).drop("line_no")
     box = F.when(F.col("line").isNotNull(), F.struct(
         F.col("line.x1").alias("x"), F.col("line.y1").alias("y"),
         F.greatest(F.lit(0), F.col("line.x2") - F.col("line.x1")).alias("w"),

@@ -19,13 +19,13 @@ from landq.session import checkpointed
 Test = Callable[[str, str], Column]
 
 
-def partnered(items: DataFrame, keys: Column, light: list[str], fits: Test, heavy: list[str] = (),
+def partnered(items: DataFrame, keys: Column, light: list[str], fits: Test, heavy: DataFrame | None = None,
               verify: Test | None = None, rounds: int = 4) -> DataFrame:
     """Ids (`gid`) of the items that have a similar item.
 
     `keys` gives the array of keys of an item. `light` columns travel with the keys and `fits` tests a pair on them.
-    `heavy` columns are fetched for the surviving pairs only and `verify` decides. Both tests get the prefixes of the
-    two sides.
+    The columns of `heavy` (with `gid`) are fetched for the surviving pairs only and `verify` decides. Both tests get
+    the prefixes of the two sides.
     """
     postings = checkpointed(items.select("gid", *light, F.explode(F.array_distinct(keys)).alias("key")))
 
@@ -37,7 +37,7 @@ def partnered(items: DataFrame, keys: Column, light: list[str], fits: Test, heav
         kept = pairs.where(fits("a_", "b_")).select("a_gid", "b_gid").distinct() if verify else pairs.where(fits("a_", "b_"))
         if verify:
             for prefix in ("a_", "b_"):
-                kept = kept.join(side(items, prefix, ["gid", *heavy]), f"{prefix}gid")
+                kept = kept.join(side(heavy, prefix, heavy.columns), f"{prefix}gid")
             kept = kept.where(verify("a_", "b_"))
         return kept.select(F.explode(F.array("a_gid", "b_gid")).alias("gid")).distinct()
 
@@ -117,7 +117,7 @@ def similar_texts(documents: DataFrame, text: str = "ocr_raw_text", threshold: f
         union = F.size(f"{a}words") + F.size(f"{b}words") - common
         return common / union > threshold
 
-    partners = partnered(items, keys, ["n", "only"], fits, ["words"], verify)
+    partners = partnered(items, keys, ["n", "only"], fits, groups.select("gid", "words"), verify)
     return _documents_with_partner(usable, groups, signature, partners).select("doc_id", "land_record_id")
 
 
