@@ -49,7 +49,7 @@ def detect_languages(text: Column | str) -> Column:
         pct = F.transform(F.filter(c, lambda x: x["count"] > 0), lambda x: F.struct(
             (-F.round(x["count"] / total * 100, 1)).alias("neg"), x["ord"].alias("ord"), x["code"].alias("code"),
             x["name"].alias("name"), x["script"].alias("script"), x["count"].alias("count")))
-        return F.array_sort(F.filter(pct, lambda x: x["neg"] <= -3.0))
+        return F.sort_array(F.filter(pct, lambda x: x["neg"] <= -3.0))
 
     def described(d: Column) -> Column:
         first, second = F.get(d, F.lit(0)), F.get(d, F.lit(1))

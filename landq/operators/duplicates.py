@@ -116,8 +116,8 @@ def risk_score(incoming: DataFrame, hits: list[DataFrame]) -> DataFrame:
                                             F.min("match_id").alias("match_id"), F.min("detail").alias("detail"))
     totals = once.groupBy("id").agg(
         F.sum("score").alias("total"), F.count("conflict").alias("conflicts_count"),
-        F.array_sort(F.collect_list(F.struct("vector", "score", "detail"))).alias("risk_breakdown"),
-        F.array_sort(F.collect_list(F.when(F.col("conflict").isNotNull(), F.struct("conflict", "match_id", "detail")))).alias("conflicts"))
+        F.sort_array(F.collect_list(F.struct("vector", "score", "detail"))).alias("risk_breakdown"),
+        F.sort_array(F.collect_list(F.when(F.col("conflict").isNotNull(), F.struct("conflict", "match_id", "detail")))).alias("conflicts"))
     score = F.least(F.lit(100), F.coalesce("total", F.lit(0))).cast("int")
     return (incoming.select("id").join(totals, "id", "left").withColumn("risk_score", score).select(
         "id", "risk_score",

@@ -24,7 +24,7 @@ def segment_regions(lines: DataFrame, **options) -> DataFrame:
     """Line count and text of every section of a document."""
     return (lines.withColumn("section", section(**options)).groupBy("doc_id", "section").agg(
         F.count("*").alias("line_count"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]), "\n").alias("text")))
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]), "\n").alias("text")))
 
 
 def detect_tables(lines: DataFrame, max_rows: int = 15, row_height: int = 20) -> DataFrame:
@@ -33,7 +33,7 @@ def detect_tables(lines: DataFrame, max_rows: int = 15, row_height: int = 20) ->
     Gives the first `max_rows` rows with their cells from left to right, and the number of all rows.
     """
     y = (F.floor(F.col("y1") / row_height) * row_height).cast("int")
-    cells = F.array_sort(F.collect_list(F.struct("x1", "line_no", "text")))
+    cells = F.sort_array(F.collect_list(F.struct("x1", "line_no", "text")))
     rows = (lines.withColumn("y", y).groupBy("doc_id", "y").agg(cells.alias("items")).where(F.size("items") >= 3)
             .select("doc_id", "y", F.transform("items", lambda i: i["text"]).alias("cells")))
     counts = rows.groupBy("doc_id").agg(F.count("*").alias("row_count")).where("row_count >= 2")
@@ -45,7 +45,7 @@ def ocr_rollup(lines: DataFrame, documents: DataFrame | None = None) -> DataFram
     """Text, average confidence and language per document; documents without lines get 35 and a review flag."""
     percent = F.round(F.when(F.col("confidence") <= 1.0, F.col("confidence") * 100).otherwise(F.col("confidence")), 1)
     texts = lines.groupBy("doc_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]), "\n").alias("text"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]), "\n").alias("text"),
         F.round(F.sum(percent.cast("decimal(18,4)")).cast("double") / F.count("*"), 1).alias("confidence"),
         F.count("*").alias("line_count"))
     if documents is not None:

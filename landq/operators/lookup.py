@@ -18,7 +18,7 @@ def lowest_two(df: DataFrame, keys: list[str], entry: str) -> DataFrame:
     """
     window = Window.partitionBy(*keys).orderBy(F.col(entry)["id"])
     ranked = df.select(*keys, entry, F.row_number().over(window).alias("rn")).where("rn <= 2")
-    return ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("firsts"))
+    return ranked.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("firsts"))
 
 
 def other_than(firsts: str, own_id: Column) -> Column:

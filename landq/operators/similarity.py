@@ -23,11 +23,13 @@ def partnered(items: DataFrame, keys: Column, light: list[str], fits: Test, heav
               verify: Test | None = None, rounds: int = 4) -> DataFrame:
     """Ids (`gid`) of the items that have a similar item.
 
-    `keys` gives the array of keys of an item. `light` columns travel with the keys and `fits` tests a pair on them.
+    `keys` gives the array of struct(key, pos) of an item. `light` columns and `pos` travel with the keys and `fits`
+    tests a pair that shares a key on them.
     The columns of `heavy` (with `gid`) are fetched for the surviving pairs only and `verify` decides. Both tests get
     the prefixes of the two sides.
     """
-    postings = checkpointed(items.select("gid", *light, F.explode(F.array_distinct(keys)).alias("key")))
+    postings = checkpointed(items.select("gid", *light, F.inline(keys)))
+    light = [*light, "pos"]
 
     def side(df: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
         return df.select(*[F.col(c).alias(prefix + c) for c in columns])
@@ -81,7 +83,7 @@ def _documents_with_partner(documents: DataFrame, groups: DataFrame, signature:
 
 
 def word_set(column: str) -> Column:
-    return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.trim(column)), r"\s+"), lambda w: w != "")))
+    return F.sort_array(F.array_distinct(F.array_remove(F.split(F.lower(F.trim(column)), r"\s+"), "")))
 
 
 def similar_texts(documents: DataFrame, text: str = "ocr_raw_text", threshold: float = 0.85, min_chars: int = 50,
@@ -99,18 +101,26 @@ def similar_texts(documents: DataFrame, text: str = "ocr_raw_text", threshold: f
     groups = checkpointed(grouped_copies(usable, signature, ["words"]))
     words = groups.select("gid", F.explode("words").alias("word"))
     held = words.groupBy("word").agg(F.count("*").alias("df"))
-    ranked = words.join(held, "word").groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("ranked"))
+    ranked = words.join(held, "word").groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("ranked"))
     size = F.size("ranked")
     first = (size - F.ceil(size * F.lit(threshold)) + 1).cast("int")
     head = F.slice("ranked", F.lit(1), first)
     longer = F.slice("ranked", F.lit(1), first + 1)
-    keys = F.flatten(F.transform(head, lambda w, i: F.when(w["df"] <= common_word, F.array(w["word"])).otherwise(
-        F.transform(F.slice(longer, i + 2, size), lambda later: F.concat(w["word"], F.lit(" "), later["word"])))))
+    keys = F.flatten(F.transform(head, lambda w, i: F.when(
+        w["df"] <= common_word, F.array(F.struct(w["word"].alias("key"), i.alias("pos")))).otherwise(
+        F.transform(F.slice(longer, i + 2, size), lambda later: F.struct(
+            F.concat(w["word"], F.lit(" "), later["word"]).alias("key"), i.alias("pos"))))))
     items = groups.join(ranked, "gid").withColumn("n", F.size("words"))
 
     def fits(a: str, b: str) -> Column:
+        """Sizes are close enough, and enough words follow the shared one on both sides.
+
+        The first shared word of a similar pair passes: all its shared words are that one or come later.
+        """
         small, large = F.least(f"{a}n", f"{b}n"), F.greatest(f"{a}n", f"{b}n")
-        return (small > F.lit(threshold) * large) & different_owner(a, b)
+        left = F.least(F.col(f"{a}n") - F.col(f"{a}pos"), F.col(f"{b}n") - F.col(f"{b}pos"))
+        needed = F.lit(threshold / (1 + threshold)) * (F.col(f"{a}n") + F.col(f"{b}n"))
+        return (small > F.lit(threshold) * large) & (left + 1e-6 >= needed) & different_owner(a, b)
 
     def verify(a: str, b: str) -> Column:
         common = F.size(F.array_intersect(f"{a}words", f"{b}words"))
@@ -133,8 +143,8 @@ def band_keys(bands: int, spare: int) -> Column:
             if a < b:
                 parts.append(F.shiftright(half, base + 32 - b).bitwiseAND(F.lit((1 << (b - a)) - 1)).cast("string"))
         return F.concat_ws(".", *parts)
-    return F.array(*[F.concat_ws("|", F.lit(",".join(map(str, chosen))), *[band(i) for i in chosen])
-                     for chosen in combinations(range(bands), bands - spare)])
+    return F.array(*[F.struct(F.concat_ws("|", F.lit(",".join(map(str, chosen))), *[band(i) for i in chosen]).alias("key"),
+                              F.lit(0).alias("pos")) for chosen in combinations(range(bands), bands - spare)])
 
 
 def bands_for(rows: int) -> int:

@@ -68,9 +68,9 @@ def language_telemetry(log: DataFrame, state: DataFrame | None = None, chunks: i
         "code", "chunk", "k", F.floor((F.col("k") - 1) / BLOCK_ROWS).alias("block"),
         F.struct((5 * (F.col("n0") + F.col("k")) - 2 * (F.col("c0") + F.col("cc"))).alias("s"),
                  F.lit(LOW).cast("bigint").alias("lo"), F.lit(HIGH).cast("bigint").alias("hi")).alias("f"))
-    blocks = step.groupBy("code", "chunk", "block").agg(_fold(F.array_sort(F.collect_list(F.struct("k", "f")))).alias("f"))
-    folded = blocks.groupBy("code", "chunk").agg(_fold(F.array_sort(F.collect_list(F.struct("block", "f")))).alias("f"))
-    per_language = folded.groupBy("code").agg(_fold(F.array_sort(F.collect_list(F.struct("chunk", "f")))).alias("f"))
+    blocks = step.groupBy("code", "chunk", "block").agg(_fold(F.sort_array(F.collect_list(F.struct("k", "f")))).alias("f"))
+    folded = blocks.groupBy("code", "chunk").agg(_fold(F.sort_array(F.collect_list(F.struct("block", "f")))).alias("f"))
+    per_language = folded.groupBy("code").agg(_fold(F.sort_array(F.collect_list(F.struct("chunk", "f")))).alias("f"))
     grown = totals.groupBy("code").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
     out = state.join(per_language, "code", "left").join(grown, "code", "left")
     moved = F.least(F.col("f.hi"), F.greatest(F.col("f.lo"), F.col("accuracy") + F.col("f.s")))
