@@ -120,7 +120,7 @@ def _field_row(ordinal: int, column: str) -> dict[str, str]:
         "ordinal": f"{ordinal}",
         "extracted_value": value,
         "corrected_value": f"case when (id + {ordinal}) % 13 = 0 then "
-                           + (f"'2.75 Acres'" if column == "land_area" else f"concat({value}, ' rev')") + " end",
+                           + ("'2.75 Acres'" if column == "land_area" else f"concat({value}, ' rev')") + " end",
         "confidence": f"cast((id * 7 + {ordinal * 31}) % 600 + 400 as double) / 10",
         "requires_review": f"(id + {ordinal}) % 17 = 0",
         "is_verified": f"(id + {ordinal}) % 19 = 0",
@@ -187,7 +187,7 @@ EVAL_HYPOTHESIS = (
 )
 
 
-def _select(columns: dict[str, str], keep_as: bool = True) -> str:
+def _select(columns: dict[str, str]) -> str:
     return ", ".join(f"{e} as {n}" for n, e in columns.items())
 
 
