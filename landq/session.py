@@ -1,8 +1,8 @@
-"""Session settings the operators rely on, and the one way lineage is cut."""
+"""Session settings the operators rely on, the shared work folder, and the one way lineage is cut."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,15 +19,17 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and continue from the files.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: below `spark.checkpoint.dir`, else below the warehouse."""
+    conf = spark.sparkContext.getConf()
+    base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
+    base = base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    The folder is `spark.checkpoint.dir` of the session. Only where that is unset (tests on one machine) a
-    temporary folder is taken.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared checkpoint folder and continue from the files."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="landq-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoint"))
     return df.checkpoint()
