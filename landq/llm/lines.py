@@ -1,59 +1,133 @@
-"""Line dedup by an exact set-similarity join: tokens by rarity, prefix, length and positional filters, Jaccard on whole sets."""
+"""Line dedup by an exact set-similarity join: tokens by rarity, prefix, length and positional filters, Jaccard on whole sets.
+
+Lines are cut into tokens by numpy inside tasks: with built-in functions alone this took three times the CPU budget (README).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landq.llm.common import spool
+from landq.llm.common import small_batches, spool
 from landq.llm.components import link_groups
+from landq.llm.words import LOWER, SPACE, Spans, blocks, edges, mix
 
 #: Lines of fewer different tokens (headings, rules, single words) are left alone.
 LEAST_TOKENS = 4
-#: The most frequent tokens that are told apart, and the step between tiers of them. Only the order of tokens depends on these.
-COMMON, STEP = 4096, 2
-
-
-def token(word: Column) -> Column:
-    """54 bits of a hash below 4 bits that fall with the length of the word: among words alike in frequency longer ones are rarer."""
-    return F.shiftleft(F.lit(15) - F.least(F.length(word), F.lit(15)).cast("bigint"), 54) + F.shiftrightunsigned(F.xxhash64(word), 10)
-
+#: Counters that tokens are counted in by hash. Only the order of tokens depends on them, never which lines are linked.
+COUNTERS = 1 << 18
 
-def tokens(line: Column) -> Column:
-    """The different words of a line, as tokens: runs between blanks, in lower case."""
-    return F.array_distinct(F.transform(F.filter(F.split(F.lower(line), " "), lambda w: w != ""), token))
 
+def count_tokens(docs: DataFrame) -> np.ndarray:
+    """How often the tokens of each counter occur in all texts."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for _, buf, _ in blocks(batch.column(0).to_pylist()):
+                h = Spans(LOWER[buf]).hash(*edges(~SPACE[buf]))
+                seen += np.bincount((h % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        used = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(seen[used])], ["counter", "n"])
 
-def frequent_tokens(docs: DataFrame) -> list[int]:
-    """The most frequent tokens over all texts, most frequent first; a sketch of fixed size counts them."""
-    words = docs.select(F.explode(F.split(F.lower(F.translate("text", "\n", " ")), " ")).alias("w")).filter("w <> ''").select(token(F.col("w")).alias("w"))
-    top = words.agg(F.expr(f"approx_top_k(w, {COMMON}, {COMMON * 8})").alias("top")).first().top
-    return [t["item"] for t in top or []]
+    small_batches(docs.sparkSession)
+    sums = docs.select("text").mapInArrow(work, "counter int, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.int64)  # COUNTERS rows at most reach the driver
+    out[sums.column(0).to_numpy()] = sums.column(1).to_numpy()
+    return out
 
 
-def by_rarity(sets: Column, common: list[int]) -> Column:
-    """Tokens in one order for all lines: rare ones, longer words first, then tiers of ever more frequent ones.
+def token_sets(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of runs of texts: first row, number of rows, row and number (in its text) of each line, line and hash of each token, a token once in a line.
 
-    The tier becomes the upper bits of a token, so that sorting longs sorts by tier.
+    Lines end at line feeds; tokens are runs of bytes other than blank and 0x09-0x0D, with A-Z in lower case. A null text has no lines.
     """
-    tiers, size = [], len(common)
-    while size >= 4:
-        tiers.append(common[:size])
-        size //= STEP
-
-    def ranked(item: Column) -> Column:
-        tier = F.lit(0)
-        for i, items in reversed(list(enumerate(tiers))):
-            tier = F.when(~item.isin(items), F.lit(i)).otherwise(tier if i + 1 < len(tiers) else F.lit(i + 1))
-        return F.shiftleft(tier.cast("bigint"), 58) + item
-
-    return F.sort_array(F.transform(sets, ranked))
-
-
-def line_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, copy (tells rows of the same doc_id but different texts apart), line_no, line."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("copy"),
-                       F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    for first, buf, at in blocks(texts):
+        live = np.array([t is not None for t in texts[first:first + len(at)]])
+        starts = np.union1d(at[live], np.flatnonzero(buf == 10) + 1)
+        row = np.searchsorted(at, starts, "right") - 1
+        number = np.arange(len(row)) - np.searchsorted(row, row)
+        words, ends = edges(~SPACE[buf])
+        line, h = np.searchsorted(starts, words, "right") - 1, Spans(LOWER[buf]).hash(words, ends)
+        order = np.lexsort((h, line))
+        line, h = line[order], h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+        yield first, len(at), row, number, line[new], h[new]
+
+
+ROWS = "doc_id bigint, copy bigint, line_no int, item bigint, n int, prefix array<bigint>"
+
+
+def line_rows(docs: DataFrame, percent: int, least: int) -> DataFrame:
+    """doc_id, copy (tells rows of the same doc_id but different texts apart), line_no, item (hash of the token set), n (its size),
+    prefix (its rarest tokens: two linked lines share one of theirs)."""
+    spark = small_batches(docs.sparkSession)
+    counts = spark.sparkContext.broadcast(count_tokens(docs).astype(np.float32))  # 1 MB
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, _, row, number, line, h in token_sets(batch.column(1).to_pylist()):
+                n = np.bincount(line, minlength=len(row))
+                keep = n[line] >= least
+                line, h = line[keep], h[keep]
+                if not len(line):
+                    continue
+                order = np.lexsort((h, counts.value[(h % np.uint64(COUNTERS)).astype(np.int64)], line))
+                line, h = line[order], h[order]
+                lines, begin = np.unique(line, return_index=True)
+                size = n[lines]
+                short = np.arange(len(line)) - np.repeat(begin, size) < np.repeat(size - -(-size * percent // 100) + 1, size)
+                item = mix(np.add.reduceat(mix(h + np.uint64(5)), begin) + size.astype(np.uint64))
+                taken = np.concatenate([[0], np.cumsum(size - -(-size * percent // 100) + 1)])
+                where = pa.array(row[lines] + first)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(where), batch.column(2).take(where), pa.array(number[lines].astype(np.int32)), pa.array(item.view(np.int64)),
+                     pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(pa.array(taken, pa.int32()), pa.array(h[short].view(np.int64)))],
+                    ["doc_id", "copy", "line_no", "item", "n", "prefix"])
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("copy")).mapInArrow(work, ROWS)
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """item, tokens (ascending hashes) of the lines that `wanted` names: doc_id, copy, line_no, item."""
+    lists = wanted.groupBy("doc_id", "copy").agg(F.sort_array(F.collect_list(F.struct("line_no", "item"))).alias("lines"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("copy"))
+    match = rows["doc_id"].eqNullSafe(lists["doc_id"]) & (rows["copy"] == lists["copy"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = batch.column(1).to_pylist()
+            items, sets = [], []
+            for first, n, row, _, line, h in token_sets(batch.column(0).to_pylist()):
+                begin, cuts = np.searchsorted(row, np.arange(n)), np.searchsorted(line, np.arange(len(row) + 1))
+                for i in range(n):
+                    for entry in asked[first + i]:
+                        at = begin[i] + entry["line_no"]
+                        items.append(entry["item"])
+                        sets.append(h[cuts[at]:cuts[at + 1]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(sets, pa.binary())], ["item", "tokens"])
+
+    return rows.join(lists, match).select("text", "lines").mapInArrow(work, "item bigint, tokens binary").dropDuplicates(["item"])
+
+
+def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b whose whole token sets reach the limit."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in (0, 1)], ["a", "b"])
+
+    sides = [sets.select(F.col("item").alias(s), F.col("tokens").alias(f"tokens_{s}")) for s in "ab"]
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(work, "a bigint, b bigint")
 
 
 def repeated_lines(docs: DataFrame, limit: float = 0.8, least: int = LEAST_TOKENS) -> DataFrame:
@@ -63,18 +137,12 @@ def repeated_lines(docs: DataFrame, limit: float = 0.8, least: int = LEAST_TOKEN
     with fewer than `least` different tokens stay. Null and empty texts have no such lines. Rows alike in doc_id and text are one.
     """
     percent = round(100 * limit)
-    common = frequent_tokens(docs)
-    ordered = line_rows(docs).withColumn("sets", tokens(F.col("line"))).filter(F.size("sets") >= least).withColumn("sets", by_rarity(F.col("sets"), common))
-    keyed = ordered.select("doc_id", "copy", "line_no", F.xxhash64("sets").alias("item"), F.size("sets").alias("n"), "sets")
-
-    classes = spool(keyed.groupBy("item").agg(F.min(F.struct("doc_id", "copy", "line_no")).alias("first"), F.count("*").alias("lines")), "line-classes")
-    prefix = F.expr(f"n - cast(ceil(n * {percent} / 100) as int) + 1")
-    entries = keyed.select("item", "n", F.posexplode(F.slice("sets", F.lit(1), prefix)).alias("place", "token")).select(
-        F.col("token").alias("bucket"), "item", "n", "place")
+    keyed = spool(line_rows(docs, percent, least), "lines")
+    classes = spool(keyed.groupBy("item").agg(F.min(F.struct("doc_id", "copy", "line_no")).alias("first"), F.count("*").alias("lines"),
+                                              F.min("n").alias("n"), F.min("prefix").alias("prefix")), "line-classes")
+    entries = classes.select("item", "n", F.posexplode("prefix").alias("place", "bucket"))
     shared = entries.groupBy("bucket").agg(F.min("item").alias("low"), F.max("item").alias("high")).filter("low < high").select("bucket")
-    buckets = spool(entries.join(shared, "bucket", "left_semi").distinct(), "line-buckets")
-    near = buckets.select("item").distinct()
-    some = spool(keyed.select("item", "sets").join(near, "item", "left_semi").dropDuplicates(["item"]), "line-sets")
+    buckets = spool(entries.join(shared, "bucket", "left_semi"), "line-buckets")
 
     # Length filter; positional filter: up to its first shared token a pair has nothing in common, so some bucket of a
     # linked pair leaves both enough tokens. Lengths m, n need an overlap of limit / (1 + limit) * (m + n).
@@ -82,11 +150,10 @@ def repeated_lines(docs: DataFrame, limit: float = 0.8, least: int = LEAST_TOKEN
                    f"least(n_x - place_x, n_y - place_y) * {100 + percent} >= (n_x + n_y) * {percent}")
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        """The pairs whose whole sets reach the limit."""
-        sides = [some.select(F.col("item").alias(s), F.col("sets").alias(f"sets_{s}")) for s in "ab"]
-        both = F.size(F.array_intersect("sets_a", "sets_b"))
-        return (pairs.select("a", "b").distinct().join(sides[0], "a").join(sides[1], "b").withColumn("both", both)
-                .filter(F.expr(f"both * 100 >= (size(sets_a) + size(sets_b) - both) * {percent}")).select("a", "b"))
+        near = spool(pairs.select("a", "b").distinct(), "line-pairs")
+        items = near.select(F.col("a").alias("item")).union(near.select("b")).distinct()
+        wanted = classes.join(items, "item", "left_semi").select("first.doc_id", "first.copy", "first.line_no", "item")
+        return similar(near, spool(sets_of(docs, wanted), "line-sets"), percent)
 
     joined, _ = link_groups(buckets, links_of, rounds=1, close=close)
     groups = classes.join(joined.withColumnRenamed("node", "item"), "item", "left").withColumn("group", F.coalesce("component", "item"))
