@@ -8,8 +8,12 @@ from landq.session import shared_folder
 
 
 def small_batches(spark: SparkSession, size: str = "8m") -> SparkSession:
-    """Arrow batches by bytes, so that very long texts don't meet in one batch of thousands of rows."""
+    """Arrow batches by bytes, so that very long texts don't meet in one batch of thousands of rows.
+
+    Also lets shuffle files go when the write that needed them has ended; steps read tables, not each other's shuffles.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 
