@@ -25,21 +25,21 @@ EVERY = f"{STARTS}(?=({WORD}(?:{GAP}{WORD})?))"
 SKIPPED = f"{GAP}(?:{COMMON}{GAP})*"
 
 
-def signatures(text: Column) -> Column:
-    """The signature set of a text: hashes of its chains, ascending, each once. A text without words has its own hash, an empty one none."""
-    low = F.lower(text)
+def with_signatures(docs: DataFrame, text: str, name: str) -> DataFrame:
+    """`docs` with the signature set of column `text`: hashes of its chains, ascending, each once.
 
-    def chains(pattern: str, clean: str) -> Column:
-        found = F.regexp_extract_all(low, F.lit(pattern), F.lit(1))
-        return F.transform(found, lambda c: F.hash(F.regexp_replace(c, clean, " ")))
+    A text without words has its own hash, an empty one none. Each step is a column, so that no search runs twice.
+    """
+    def chains(pattern: str, group: int) -> Column:
+        return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(group))
 
-    every = chains(EVERY, GAP)
-    anchored = chains(ANCHORED, SKIPPED)
-    words = F.transform(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)), lambda w: F.hash(w))
-    some = F.when(F.length(text) < SHORT, F.concat(words, every)).otherwise(anchored)
-    some = F.when((F.size(some) == 0) & (F.length(text) >= SHORT), every).otherwise(some)
-    some = F.when(F.size(some) == 0, F.when(text == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(text)))).otherwise(some)
-    return F.sort_array(F.array_distinct(some))
+    found, hashed = f"{name}_found", f"{name}_hashed"
+    short = F.length(text) < SHORT
+    steps = docs.withColumn(found, F.when(short, F.concat(chains(WORD, 0), chains(EVERY, 1))).otherwise(chains(ANCHORED, 1)))
+    steps = steps.withColumn(found, F.when((F.size(found) == 0) & ~short, chains(EVERY, 1)).otherwise(F.col(found)))
+    steps = steps.withColumn(hashed, F.transform(found, lambda c: F.hash(F.regexp_replace(c, SKIPPED, " "))))
+    own = F.when(F.col(text) == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(text)))
+    return steps.withColumn(name, F.when(F.size(hashed) == 0, own).otherwise(F.sort_array(F.array_distinct(hashed)))).drop(found, hashed)
 
 
 def pruned_jaccard(a: Column, b: Column, least: float = 0.0) -> Column:
@@ -86,17 +86,20 @@ def fingerprint_edits(docs: DataFrame, limit: float = 0.8) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = rows.withColumn("sets", signatures(F.col("text"))).groupBy("doc_id").agg(F.min(F.struct("text", "sets")).alias("d")).select(
-        "doc_id", "d.text", "d.sets")
-    sizes = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.length("text")).alias("n_chars"))
-    ring = next_of(sizes)
+    named, unnamed = rows.filter("doc_id is not null"), rows.filter("doc_id is null")
+
+    def one_each(some: DataFrame) -> DataFrame:
+        return with_signatures(some, "text", "sets").groupBy("doc_id").agg(F.min(F.struct("text", "sets")).alias("d")).select("doc_id", "d.text", "d.sets")
+
+    whole = one_each(named)
+    ring = next_of(named.groupBy("doc_id").agg(F.max(F.length("text")).alias("n_chars")))
     heads = whole.join(ring.select("doc_id", "prev_id", "prev_n"), "doc_id").select(
         F.col("prev_id").alias("doc_id"), F.expr("left(text, prev_n div 4)").alias("head"), F.col("sets").alias("next_sets"))
-    empty = F.array().cast("array<int>")
-    joined = whole.join(heads, "doc_id", "left")
-    edited = joined.select("doc_id", "sets", F.length("text").cast("bigint").alias("n_chars"), F.coalesce("next_sets", empty).alias("next_sets"),
-                           F.expr("concat(left(text, length(text) - length(text) div 4), left(coalesce(head, ''), length(text) div 4))").alias("edited"))
-    final = edited.withColumn("edited_sets", signatures(F.col("edited")))
+    joined = whole.join(heads, "doc_id").unionByName(
+        one_each(unnamed).withColumns({"head": F.lit(""), "next_sets": F.array().cast("array<int>")}))
+    edited = joined.select("doc_id", "sets", F.length("text").cast("bigint").alias("n_chars"), "next_sets",
+                           F.expr("concat(left(text, length(text) - length(text) div 4), left(head, length(text) div 4))").alias("edited"))
+    final = with_signatures(edited, "edited", "edited_sets")
     return final.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("sets"), limit).alias("fingerprint"),
                         fingerprint(F.col("edited_sets"), limit).alias("edited_fingerprint"),
                         pruned_jaccard(F.col("sets"), F.col("edited_sets")).alias("near_edited"),
