@@ -86,7 +86,9 @@ def train(rows: list[tuple[int, int, np.ndarray]]) -> tuple[np.ndarray, np.ndarr
     cuts = np.unique(severity)
     caught, harmed = [1 - np.searchsorted(np.sort(severity[t]), cuts) / max(1, t.sum()) for t in (toxic, ~toxic)]
     best = int(np.argmax(caught - 5 * harmed))
-    return weights, thresholds, float((cuts[best] + cuts[max(0, best - 1)]) / 2)
+    gain = caught[best] - 5 * harmed[best]
+    cut = (cuts[best] + cuts[max(0, best - 1)]) / 2 if gain > 0 else np.inf  # nothing is rejected if no cut is of use
+    return weights, thresholds, float(max(cut, sigmoid(-thresholds).sum() + 1e-6))  # nor a text without telling features
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
