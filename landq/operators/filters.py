@@ -93,11 +93,14 @@ def records_by_id(records: DataFrame, ids: DataFrame, guard: bool = True) -> Dat
     return df.join(ids.select("id"), "id", "left_semi")
 
 
-def verification_queue(records: DataFrame, statuses: list[str] = dims.QUEUE_STATUSES, skip_maps: bool = True) -> DataFrame:
+def verification_queue(records: DataFrame, statuses: list[str] = dims.QUEUE_STATUSES, skip_maps: bool = True,
+                       newest_first: bool = False) -> DataFrame:
+    """Records that wait for review. Ordering the whole queue is a shuffle of its own, so it is done on request only."""
     df = records.where(F.col("status").isin(statuses))
     if skip_maps:
         df = df.where((F.col("document_type") != dims.CADASTRAL_MAP) & F.col("owner_name").isNotNull())
-    return df.withColumn("survey_number", sanitize_survey_number("survey_number")).orderBy(F.desc("id"))
+    df = df.withColumn("survey_number", sanitize_survey_number("survey_number"))
+    return df.orderBy(F.desc("id")) if newest_first else df
 
 
 def sanitize_survey_number(column: str) -> Column:

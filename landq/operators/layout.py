@@ -27,17 +27,18 @@ def segment_regions(lines: DataFrame, **options) -> DataFrame:
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]), "\n").alias("text")))
 
 
-def detect_tables(lines: DataFrame, max_rows: int = 15, row_height: int = 20) -> DataFrame:
+def detect_tables(lines: DataFrame, max_rows: int | None = None, row_height: int = 20) -> DataFrame:
     """Table rows of each document: lines on one height with at least 3 items, where there are at least 2 such rows.
 
-    Gives the first `max_rows` rows with their cells from left to right, and the number of all rows.
+    Gives the rows, or the first `max_rows` of them, with their cells from left to right, and the number of all rows.
     """
     y = (F.floor(F.col("y1") / row_height) * row_height).cast("int")
     cells = F.sort_array(F.collect_list(F.struct("x1", "line_no", "text")))
     rows = (lines.withColumn("y", y).groupBy("doc_id", "y").agg(cells.alias("items")).where(F.size("items") >= 3)
             .select("doc_id", "y", F.transform("items", lambda i: i["text"]).alias("cells")))
     counts = rows.groupBy("doc_id").agg(F.count("*").alias("row_count")).where("row_count >= 2")
-    first = rows.withColumn("row_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("y"))).where(F.col("row_no") <= max_rows)
+    first = rows.withColumn("row_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("y")))
+    first = first if max_rows is None else first.where(F.col("row_no") <= max_rows)
     return first.join(counts, "doc_id")
 
 

@@ -66,15 +66,16 @@ VECTORS = {
     "DU04_same_owner_survey": ("owner", ("lr",), lambda v: duplicates.same_owner_survey(v.lr, v.lr)),
     "DU05_same_khasra_area": ("khasra", ("lr",), lambda v: duplicates.same_khasra_area(v.lr, v.lr)),
     "DU06_same_registration_owner": ("registration_owner", ("lr",), lambda v: duplicates.same_registration_owner(
-        v.lr.withColumn("owner_name", F.expr("substr(owner_name, 1, 8)")), v.lr)),
+        v.lr.withColumn("id", -F.col("id") - 1), v.lr)),  # every record filed again under an id of its own
     "DU07_similar_text": ("text", (), lambda v: duplicates.similar_text(_files(v))),
     "DU08_similar_image": ("image", ("ph",), lambda v: duplicates.similar_image(_images(v))),
     "DU09_low_confidence": ("confidence", ("lr",), lambda v: duplicates.low_confidence(_scores(v))),
 }
-PREFIX_OWNER = "select id, 'REGISTRATION_OWNER_MATCH' as vector, 15 as score, null::varchar as conflict, match_id from " + _first(
-    "o.registration_number = r.registration_number and contains(lower(o.owner_name), lower(substr(r.owner_name, 1, 8)))")
+FILED_AGAIN = """select -r.id - 1 as id, 'REGISTRATION_OWNER_MATCH' as vector, 15 as score, null::varchar as conflict, min(o.id) as match_id
+   from lr r join lr o on o.registration_number = r.registration_number and contains(lower(o.owner_name), lower(trim(r.owner_name)))
+   where trim(r.owner_name) <> '' and trim(r.registration_number) <> '' group by r.id"""
 for _name, (_key, _views, _plan) in VECTORS.items():
-    q(_name, PREFIX_OWNER if _key == "registration_owner" else VECTOR_SQL[_key], *_views)(
+    q(_name, FILED_AGAIN if _key == "registration_owner" else VECTOR_SQL[_key], *_views)(
         lambda v, plan=_plan: plan(v).select(*SHOWN))
 
 

@@ -37,12 +37,12 @@ for _name, _tolerance in [("", 0.01), ("_ingest", 0.02), ("_document", 0.05)]:
 
 
 @q("JN03_parcels_with_status", """
-   with sample as (select * from lr where id % 3 <> 0), first as (select survey_number, min(id) as id from sample group by 1)
+   with first as (select survey_number, min(id) as id from lr group by 1)
    select c.id, c.survey_number, c.cadastral_area, coalesce(l.status, 'UNVERIFIED') as status,
      coalesce(l.owner_name, 'Official Revenue Cadastre') as owner_name, coalesce(l.land_classification, 'Revenue Land') as land_classification
-   from cad c left join first f on f.survey_number = c.survey_number left join sample l on l.id = f.id""", "lr", "cad")
+   from cad c left join first f on f.survey_number = c.survey_number left join lr l on l.id = f.id""", "lr", "cad")
 def _(v):
-    return joins.parcels_with_status(v.cad, v.lr.where("id % 3 <> 0")).select(
+    return joins.parcels_with_status(v.cad, v.lr).select(
         "id", "survey_number", "cadastral_area", "status", "owner_name", "land_classification")
 
 

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landq.plans.reports import TELEMETRY_SQL
 from landq.plans.suite import Suite
 from landq.plans.workflow import DONE, MIXED
+from landq.session import shared_folder
 from landq.streaming import registrations, review
 
 suite = Suite()
@@ -19,11 +16,8 @@ q = suite.query
 
 
 def work_folder(spark) -> str:
-    """A new folder of this run in the shared checkpoint folder; a temporary one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared is None:
-        return tempfile.mkdtemp(prefix="landq-stream-")
-    return os.path.join(shared, f"landq-stream-{uuid.uuid4().hex}")
+    """A new folder of this run that driver and executors share."""
+    return shared_folder(spark, "landq-stream")
 
 
 def run(writer) -> None:

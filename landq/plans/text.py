@@ -284,7 +284,7 @@ def _(v):
    with l as (select doc_id, line_no, text, x1, (((line_no - 1) // 3) * 60 // 20 * 20 + 40)::int as y from ocr_lines),
    r as (select doc_id, y, string_agg(text, ' | ' order by x1, line_no) as cells from l group by 1, 2 having count(*) >= 3),
    n as (select *, count(*) over (partition by doc_id) as row_count, row_number() over (partition by doc_id order by y) as row_no from r)
-   select doc_id, y, cells, row_no::int as row_no, row_count from n where row_count >= 2 and row_no <= 15""", "ocr_lines")
+   select doc_id, y, cells, row_no::int as row_no, row_count from n where row_count >= 2""", "ocr_lines")
 def _(v):
     grid = v.ocr_lines.selectExpr("doc_id", "line_no", "text", "x1", "cast(floor((line_no - 1) / 3) as int) * 60 + 47 as y1")
     return layout.detect_tables(grid).select("doc_id", "y", F.array_join("cells", " | ").alias("cells"), "row_no", "row_count")
@@ -323,9 +323,9 @@ CANDIDATES = ("case when id % 3 = 0 then 'Not found' else registration_number en
 @q("TX28_pick_document_number", f"""
    with c as (select id, {', '.join(CANDIDATES)} from lr),
    l as (select id, list_filter([registration_number, order_number, document_number, mutation_number], lambda x: x is not null and lower(trim(x)) not in ('not found', 'none', 'null', '')) as ok from c),
-   p as (select id, trim(coalesce(list_filter(ok, lambda x: regexp_matches(x, '[0-9]'))[1], ok[1], concat('DOC-', upper(substr(sha256(cast(id as varchar)), 1, 6))))) as n from l),
+   p as (select id, trim(coalesce(list_filter(ok, lambda x: regexp_matches(x, '[0-9]'))[1], ok[1], concat('DOC-', upper(substr(sha256(cast(id as varchar)), 1, 32))))) as n from l),
    f as (select n, min(id) as first_id from p group by 1)
-   select p.id, case when p.id = first_id then p.n else concat(p.n, '-', upper(substr(sha256(cast(p.id as varchar)), 1, 8))) end as document_number from p join f on f.n = p.n""", "lr")
+   select p.id, case when p.id = first_id then p.n else concat(p.n, '-', upper(substr(sha256(cast(p.id as varchar)), 1, 32))) end as document_number from p join f on f.n = p.n""", "lr")
 def _(v):
     from landq.operators.numbering import pick_document_number
     return pick_document_number(v.lr.selectExpr("id", *CANDIDATES))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from landq import dims, schemas
@@ -46,11 +46,20 @@ def build_admin_units(districts: DataFrame, states: DataFrame) -> DataFrame:
 
 def catalog_files(spark: SparkSession, folder: str, extensions: list[str] = dims.ALLOWED_EXTENSIONS,
                   max_bytes: int = dims.MAX_FILE_BYTES) -> DataFrame:
-    """Accepted files with SHA-256, extension and type. The size filter is applied before contents are read."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-             .where(F.col("length") <= max_bytes))
+    """All files with extension and type; accepted ones with SHA-256, the others with the reason of their rejection.
+
+    Contents of rejected files are not read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     name = F.substring_index("path", "/", -1)
     extension = F.when(F.contains(name, F.lit(".")), F.lower(F.substring_index(name, ".", -1))).otherwise(F.lit(""))
-    kept = files.withColumn("filename", name).withColumn("extension", extension).where(F.col("extension").isin(extensions))
-    return kept.select("path", "filename", "extension", F.upper("extension").alias("file_type"),
-                       F.col("length").alias("file_size"), F.sha2("content", 256).alias("file_hash"))
+    small, known = F.col("length") <= max_bytes, extension.isin(extensions)
+    reason = F.when(~known, "type not allowed").otherwise("file too large")
+
+    def rows(some: DataFrame, file_hash: Column, rejection: Column) -> DataFrame:
+        return some.select("path", name.alias("filename"), extension.alias("extension"), F.upper(extension).alias("file_type"),
+                           F.col("length").alias("file_size"), file_hash.alias("file_hash"), rejection.alias("rejection"))
+
+    nothing = F.lit(None).cast("string")
+    return rows(files.where(small & known), F.sha2("content", 256), nothing).unionByName(
+        rows(files.drop("content").where(~(small & known)), nothing, reason))
