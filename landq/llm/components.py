@@ -43,19 +43,22 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def link_groups(buckets: DataFrame, links_of: Callable[[DataFrame], DataFrame], rounds: int = 2,
-                close: Column | None = None) -> tuple[DataFrame, DataFrame]:
+                close: Column | None = None, small: int = 0) -> tuple[DataFrame, DataFrame]:
     """Components of the links among items that share a bucket, and the links found.
 
     buckets: bucket, item, and columns that `links_of` wants of either side, with suffixes _a and _b. `links_of` gets candidate
     pairs (a < b, once for each bucket that brought them) and returns the links among them (a, b). `close` is a condition on
-    the columns with suffixes _x and _y without which a bucket doesn't make a pair.
+    the columns with suffixes _x and _y without which a bucket doesn't make a pair. With `small`, buckets have a column `size`:
+    in those of at most `small` items all meet in the first round, and they are done with; at that size pairs grow as the items.
 
     In each of the first `rounds` rounds the items of a bucket meet one lead of it. After that only items of different components
     meet all others of their bucket. So a large group of like items costs rounds, not pairs, and no link between components is lost.
     """
-    extra = [c for c in buckets.columns if c not in ("bucket", "item")]
+    extra = [c for c in buckets.columns if c not in ("bucket", "item", "size")]
     close = F.lit(True) if close is None else close
-    links, joined = None, None
+    links, joined, few = None, None, None
+    if small:
+        few, buckets = buckets.filter(F.col("size") <= small), buckets.filter(F.col("size") > small)
     for turn in range(rounds + 1):
         open_ = buckets.withColumn("component", F.col("item"))
         if joined is not None:
@@ -65,14 +68,20 @@ def link_groups(buckets: DataFrame, links_of: Callable[[DataFrame], DataFrame],
             if open_.isEmpty():
                 break
         left, right = ([F.col(c).alias(f"{c}_{s}") for c in ["item", "component", *extra]] for s in "xy")
+
+        def all_pairs(some: DataFrame) -> DataFrame:
+            return some.select("bucket", *left).join(some.select("bucket", *right), "bucket").filter(
+                close & F.expr("component_x <> component_y and item_x < item_y"))
+
         if turn < rounds:
             order = F.col("item") if turn == 0 else F.xxhash64("item", F.lit(turn))
             lead = open_.groupBy("bucket").agg(F.min(F.struct(order.alias("order"), "item", "component", *extra)).alias("lead"))
             others = lead.select("bucket", *[F.col(f"lead.{c}").alias(f"{c}_y") for c in ["item", "component", *extra]])
             pairs = open_.select("bucket", *left).join(others, "bucket").filter(close & F.expr("component_x <> component_y"))
         else:
-            pairs = open_.select("bucket", *left).join(open_.select("bucket", *right), "bucket").filter(
-                close & F.expr("component_x <> component_y and item_x < item_y"))
+            pairs = all_pairs(open_)
+        if turn == 0 and few is not None:
+            pairs = pairs.unionByName(all_pairs(few.withColumn("component", F.col("item"))))
         first = F.col("item_x") < F.col("item_y")
         sides = [F.when(first, F.col(f"{c}_{p}")).otherwise(F.col(f"{c}_{q}")).alias(n)
                  for s, p, q in (("a", "x", "y"), ("b", "y", "x")) for c, n in [("item", s), *[(e, f"{e}_{s}") for e in extra]]]

@@ -1,133 +1,75 @@
 """Line dedup by an exact set-similarity join: tokens by rarity, prefix, length and positional filters, Jaccard on whole sets.
 
-Lines are cut into tokens by numpy inside tasks: with built-in functions alone this took three times the CPU budget (README).
+Built-in functions only. Token sets are hashed once, into a table of the shared folder that all later steps read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landq.llm.common import small_batches, spool
 from landq.llm.components import link_groups
-from landq.llm.words import LOWER, SPACE, Spans, blocks, edges, mix
 
 #: Lines of fewer different tokens (headings, rules, single words) are left alone.
 LEAST_TOKENS = 4
 #: Counters that tokens are counted in by hash. Only the order of tokens depends on them, never which lines are linked.
 COUNTERS = 1 << 18
+#: Classes of lines that share a token and meet without a lead.
+SMALL = 16
+BLANKS = "\t\x0b\x0c\r"
 
 
-def count_tokens(docs: DataFrame) -> np.ndarray:
-    """How often the tokens of each counter occur in all texts."""
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            for _, buf, _ in blocks(batch.column(0).to_pylist()):
-                h = Spans(LOWER[buf]).hash(*edges(~SPACE[buf]))
-                seen += np.bincount((h % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        used = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(seen[used])], ["counter", "n"])
+def token_set(line: Column) -> Column:
+    """Hashes of the different tokens of a line, ascending: runs of characters other than blank and 0x09-0x0D, in lower case."""
+    lower = F.lower(line)
+    odd = reduce(or_, [F.contains(line, F.lit(c)) for c in BLANKS])
+    words = F.when(odd, F.split(lower, r"[\x09-\x0D ]")).otherwise(F.split(lower, " "))
+    return F.sort_array(F.array_distinct(F.array_remove(F.transform(words, lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))))
 
-    small_batches(docs.sparkSession)
-    sums = docs.select("text").mapInArrow(work, "counter int, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(COUNTERS, np.int64)  # COUNTERS rows at most reach the driver
-    out[sums.column(0).to_numpy()] = sums.column(1).to_numpy()
-    return out
+
+def line_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, copy (tells rows of the same doc_id but different texts apart), line_no, n (different tokens), item (hash of the
+    token set), tokens. Lines end at line feeds; a null text has none."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("copy"), F.split("text", "\n").alias("lines"))
+    lines = rows.select("doc_id", "copy", F.posexplode("lines").alias("line_no", "line"))
+    return lines.select("doc_id", "copy", "line_no", token_set(F.col("line")).alias("tokens")).select(
+        "doc_id", "copy", "line_no", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("item"), "tokens")
+
+
+def counter(token: Column) -> Column:
+    return F.pmod(token, F.lit(COUNTERS)).cast("int")
 
 
-def token_sets(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of runs of texts: first row, number of rows, row and number (in its text) of each line, line and hash of each token, a token once in a line.
+def rarity(lines: DataFrame) -> Column:
+    """Array of the levels of all counters: how often their tokens occur in all lines, on a scale of logarithms.
 
-    Lines end at line feeds; tokens are runs of bytes other than blank and 0x09-0x0D, with A-Z in lower case. A null text has no lines.
+    COUNTERS small numbers, whatever the input. They reach the driver as one string, and the tasks as a literal.
     """
-    for first, buf, at in blocks(texts):
-        live = np.array([t is not None for t in texts[first:first + len(at)]])
-        starts = np.union1d(at[live], np.flatnonzero(buf == 10) + 1)
-        row = np.searchsorted(at, starts, "right") - 1
-        number = np.arange(len(row)) - np.searchsorted(row, row)
-        words, ends = edges(~SPACE[buf])
-        line, h = np.searchsorted(starts, words, "right") - 1, Spans(LOWER[buf]).hash(words, ends)
-        order = np.lexsort((h, line))
-        line, h = line[order], h[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-        yield first, len(at), row, number, line[new], h[new]
-
-
-ROWS = "doc_id bigint, copy bigint, line_no int, item bigint, n int, prefix array<bigint>"
-
-
-def line_rows(docs: DataFrame, percent: int, least: int) -> DataFrame:
-    """doc_id, copy (tells rows of the same doc_id but different texts apart), line_no, item (hash of the token set), n (its size),
-    prefix (its rarest tokens: two linked lines share one of theirs)."""
-    spark = small_batches(docs.sparkSession)
-    counts = spark.sparkContext.broadcast(count_tokens(docs).astype(np.float32))  # 1 MB
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, _, row, number, line, h in token_sets(batch.column(1).to_pylist()):
-                n = np.bincount(line, minlength=len(row))
-                keep = n[line] >= least
-                line, h = line[keep], h[keep]
-                if not len(line):
-                    continue
-                order = np.lexsort((h, counts.value[(h % np.uint64(COUNTERS)).astype(np.int64)], line))
-                line, h = line[order], h[order]
-                lines, begin = np.unique(line, return_index=True)
-                size = n[lines]
-                short = np.arange(len(line)) - np.repeat(begin, size) < np.repeat(size - -(-size * percent // 100) + 1, size)
-                item = mix(np.add.reduceat(mix(h + np.uint64(5)), begin) + size.astype(np.uint64))
-                taken = np.concatenate([[0], np.cumsum(size - -(-size * percent // 100) + 1)])
-                where = pa.array(row[lines] + first)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(where), batch.column(2).take(where), pa.array(number[lines].astype(np.int32)), pa.array(item.view(np.int64)),
-                     pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(pa.array(taken, pa.int32()), pa.array(h[short].view(np.int64)))],
-                    ["doc_id", "copy", "line_no", "item", "n", "prefix"])
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("copy")).mapInArrow(work, ROWS)
-
-
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """item, tokens (ascending hashes) of the lines that `wanted` names: doc_id, copy, line_no, item."""
-    lists = wanted.groupBy("doc_id", "copy").agg(F.sort_array(F.collect_list(F.struct("line_no", "item"))).alias("lines"))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("copy"))
-    match = rows["doc_id"].eqNullSafe(lists["doc_id"]) & (rows["copy"] == lists["copy"])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            asked = batch.column(1).to_pylist()
-            items, sets = [], []
-            for first, n, row, _, line, h in token_sets(batch.column(0).to_pylist()):
-                begin, cuts = np.searchsorted(row, np.arange(n)), np.searchsorted(line, np.arange(len(row) + 1))
-                for i in range(n):
-                    for entry in asked[first + i]:
-                        at = begin[i] + entry["line_no"]
-                        items.append(entry["item"])
-                        sets.append(h[cuts[at]:cuts[at + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(sets, pa.binary())], ["item", "tokens"])
-
-    return rows.join(lists, match).select("text", "lines").mapInArrow(work, "item bigint, tokens binary").dropDuplicates(["item"])
+    counts = lines.select(F.explode("tokens").alias("token")).groupBy(counter(F.col("token")).alias("counter")).agg(F.count("*").alias("n"))
+    level = F.least(F.lit(127.0), 6 * F.log2("n")).cast("tinyint")
+    every = lines.sparkSession.range(COUNTERS).select(F.col("id").cast("int").alias("counter"))
+    levels = every.join(counts, "counter", "left").select(F.struct("counter", F.coalesce(level, F.lit(0).cast("tinyint")).alias("level")).alias("x"))
+    text = levels.agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["level"].cast("string")), ",")).first()[0]
+    return F.split(F.lit(text), ",").cast("array<tinyint>")
+
+
+def prefix(levels: Column, percent: int) -> Column:
+    """The rarest tokens of a line, rarest first, as hashes: two linked lines share one of theirs."""
+    order = F.transform("tokens", lambda t: F.shiftleft(F.get(levels, counter(t)).cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(t, 8)))
+    length = F.expr(f"n - (n * {percent} + 99) div 100 + 1").cast("int")
+    return F.transform(F.slice(F.sort_array(order), F.lit(1), length), lambda x: F.hash(x))
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b whose whole token sets reach the limit."""
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in (0, 1)], ["a", "b"])
-
     sides = [sets.select(F.col("item").alias(s), F.col("tokens").alias(f"tokens_{s}")) for s in "ab"]
-    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(work, "a bigint, b bigint")
+    both = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    return pairs.join(sides[0], "a").join(sides[1], "b").filter(
+        100 * both >= percent * (F.size("tokens_a") + F.size("tokens_b") - both)).select("a", "b")
 
 
 def repeated_lines(docs: DataFrame, limit: float = 0.8, least: int = LEAST_TOKENS) -> DataFrame:
@@ -136,13 +78,15 @@ def repeated_lines(docs: DataFrame, limit: float = 0.8, least: int = LEAST_TOKEN
     Two lines are linked if the Jaccard similarity of their token sets is `limit` or more; a group is what links connect. Lines
     with fewer than `least` different tokens stay. Null and empty texts have no such lines. Rows alike in doc_id and text are one.
     """
+    small_batches(docs.sparkSession)
     percent = round(100 * limit)
-    keyed = spool(line_rows(docs, percent, least), "lines")
-    classes = spool(keyed.groupBy("item").agg(F.min(F.struct("doc_id", "copy", "line_no")).alias("first"), F.count("*").alias("lines"),
-                                              F.min("n").alias("n"), F.min("prefix").alias("prefix")), "line-classes")
+    lines = spool(line_sets(docs), "lines").filter(F.col("n") >= least)
+    rows = lines.select("doc_id", "copy", "line_no", "item", "n", prefix(rarity(lines), percent).alias("prefix"))
+    classes = spool(rows.groupBy("item").agg(F.min(F.struct("doc_id", "copy", "line_no")).alias("first"), F.count("*").alias("lines"),
+                                             F.first("n").alias("n"), F.first("prefix").alias("prefix")), "line-classes")
     entries = classes.select("item", "n", F.posexplode("prefix").alias("place", "bucket"))
-    shared = entries.groupBy("bucket").agg(F.min("item").alias("low"), F.max("item").alias("high")).filter("low < high").select("bucket")
-    buckets = spool(entries.join(shared, "bucket", "left_semi"), "line-buckets")
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    buckets = spool(entries.join(shared, "bucket"), "line-buckets")
 
     # Length filter; positional filter: up to its first shared token a pair has nothing in common, so some bucket of a
     # linked pair leaves both enough tokens. Lengths m, n need an overlap of limit / (1 + limit) * (m + n).
@@ -152,15 +96,15 @@ def repeated_lines(docs: DataFrame, limit: float = 0.8, least: int = LEAST_TOKEN
     def links_of(pairs: DataFrame) -> DataFrame:
         near = spool(pairs.select("a", "b").distinct(), "line-pairs")
         items = near.select(F.col("a").alias("item")).union(near.select("b")).distinct()
-        wanted = classes.join(items, "item", "left_semi").select("first.doc_id", "first.copy", "first.line_no", "item")
-        return similar(near, spool(sets_of(docs, wanted), "line-sets"), percent)
+        wanted = lines.select("item", "tokens").join(items, "item", "left_semi")
+        return similar(near, spool(wanted.groupBy("item").agg(F.first("tokens").alias("tokens")), "line-sets"), percent)
 
-    joined, _ = link_groups(buckets, links_of, rounds=1, close=close)
+    joined, _ = link_groups(buckets, links_of, rounds=1, close=close, small=SMALL)
     groups = classes.join(joined.withColumnRenamed("node", "item"), "item", "left").withColumn("group", F.coalesce("component", "item"))
     firsts = groups.groupBy("group").agg(F.min("first").alias("head"), F.sum("lines").alias("lines")).filter("lines > 1")
     members = groups.join(firsts, "group").select("item", "group", "head")
-    lines = keyed.select("doc_id", "copy", "line_no", "item").join(members, "item")
-    return lines.filter("struct(doc_id, copy, line_no) > head").select("doc_id", "copy", "line_no", "group")
+    return lines.select("doc_id", "copy", "line_no", "item").join(members, "item").filter(
+        "struct(doc_id, copy, line_no) > head").select("doc_id", "copy", "line_no", "group")
 
 
 def line_report(docs: DataFrame, limit: float = 0.8, least: int = LEAST_TOKENS) -> DataFrame:
