@@ -64,6 +64,12 @@ def prefix(levels: Column, percent: int) -> Column:
     return F.transform(F.slice(F.sort_array(order), F.lit(1), length), lambda x: F.hash(x))
 
 
+def parity(tokens: str) -> Column:
+    """64 bits, each the parity of the tokens that fall on it: two sets differ in as many tokens at least as their bits differ."""
+    return F.aggregate(tokens, F.lit(0).cast("bigint"), lambda bits, t: bits.bitwiseXOR(
+        F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.shiftrightunsigned(t, 20), F.lit(64)).cast("int"))))
+
+
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b whose whole token sets reach the limit."""
     sides = [sets.select(F.col("item").alias(s), F.col("tokens").alias(f"tokens_{s}")) for s in "ab"]
@@ -81,17 +87,19 @@ def repeated_lines(docs: DataFrame, limit: float = 0.8, least: int = LEAST_TOKEN
     small_batches(docs.sparkSession)
     percent = round(100 * limit)
     lines = spool(line_sets(docs), "lines").filter(F.col("n") >= least)
-    rows = lines.select("doc_id", "copy", "line_no", "item", "n", prefix(rarity(lines), percent).alias("prefix"))
+    rows = lines.select("doc_id", "copy", "line_no", "item", "n", parity("tokens").alias("bits"), prefix(rarity(lines), percent).alias("prefix"))
     classes = spool(rows.groupBy("item").agg(F.min(F.struct("doc_id", "copy", "line_no")).alias("first"), F.count("*").alias("lines"),
-                                             F.first("n").alias("n"), F.first("prefix").alias("prefix")), "line-classes")
-    entries = classes.select("item", "n", F.posexplode("prefix").alias("place", "bucket"))
+                                             F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")), "line-classes")
+    entries = classes.select("item", "n", "bits", F.posexplode("prefix").alias("place", "bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = spool(entries.join(shared, "bucket"), "line-buckets")
 
     # Length filter; positional filter: up to its first shared token a pair has nothing in common, so some bucket of a
-    # linked pair leaves both enough tokens. Lengths m, n need an overlap of limit / (1 + limit) * (m + n).
+    # linked pair leaves both enough tokens. Lengths m, n need an overlap of limit / (1 + limit) * (m + n), so they differ
+    # in (1 - limit) / (1 + limit) * (m + n) tokens at most, and in no more bits.
     close = F.expr(f"least(n_x, n_y) * 100 >= greatest(n_x, n_y) * {percent} and "
-                   f"least(n_x - place_x, n_y - place_y) * {100 + percent} >= (n_x + n_y) * {percent}")
+                   f"least(n_x - place_x, n_y - place_y) * {100 + percent} >= (n_x + n_y) * {percent} and "
+                   f"bit_count(bits_x ^ bits_y) * {100 + percent} <= (n_x + n_y) * {100 - percent}")
 
     def links_of(pairs: DataFrame) -> DataFrame:
         near = spool(pairs.select("a", "b").distinct(), "line-pairs")
