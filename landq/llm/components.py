@@ -43,8 +43,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def link_groups(buckets: DataFrame, links_of: Callable[[DataFrame], DataFrame], rounds: int = 2,
-                close: Column | None = None, small: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Components of the links among items that share a bucket, and the links found.
+                close: Column | None = None, small: int = 0) -> DataFrame:
+    """Components of the links among items that share a bucket: node, component.
 
     buckets: bucket, item, and columns that `links_of` wants of either side, with suffixes _a and _b. `links_of` gets candidate
     pairs (a < b, once for each bucket that brought them) and returns the links among them (a, b). `close` is a condition on
@@ -56,7 +56,7 @@ def link_groups(buckets: DataFrame, links_of: Callable[[DataFrame], DataFrame],
     """
     extra = [c for c in buckets.columns if c not in ("bucket", "item", "size")]
     close = F.lit(True) if close is None else close
-    links, joined, few = None, None, None
+    joined, few = None, None
     if small:
         few, buckets = buckets.filter(F.col("size") <= small), buckets.filter(F.col("size") > small)
     for turn in range(rounds + 1):
@@ -86,6 +86,6 @@ def link_groups(buckets: DataFrame, links_of: Callable[[DataFrame], DataFrame],
         sides = [F.when(first, F.col(f"{c}_{p}")).otherwise(F.col(f"{c}_{q}")).alias(n)
                  for s, p, q in (("a", "x", "y"), ("b", "y", "x")) for c, n in [("item", s), *[(e, f"{e}_{s}") for e in extra]]]
         found = spool(links_of(pairs.select("bucket", *sides)), "links")
-        links = found if links is None else links.union(found)
-        joined = spool(components(links), "components")
-    return joined, links
+        known = found if joined is None else found.union(joined)  # what earlier links have joined, as one link for each item
+        joined = spool(components(known), "components")
+    return joined

@@ -107,7 +107,7 @@ def repeated_lines(docs: DataFrame, limit: float = 0.8, least: int = LEAST_TOKEN
         wanted = lines.select("item", "tokens").join(items, "item", "left_semi")
         return similar(near, spool(wanted.groupBy("item").agg(F.first("tokens").alias("tokens")), "line-sets"), percent)
 
-    joined, _ = link_groups(buckets, links_of, rounds=1, close=close, small=SMALL)
+    joined = link_groups(buckets, links_of, rounds=2, close=close, small=SMALL)
     groups = classes.join(joined.withColumnRenamed("node", "item"), "item", "left").withColumn("group", F.coalesce("component", "item"))
     firsts = groups.groupBy("group").agg(F.min("first").alias("head"), F.sum("lines").alias("lines")).filter("lines > 1")
     members = groups.join(firsts, "group").select("item", "group", "head")

@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, limit: float = 0.8, rounds: int
     def links_of(pairs: DataFrame) -> DataFrame:
         return confirmed(spool(likely(pairs.select("a", "b").distinct(), some, limit), "pairs"), texts, k, limit)
 
-    joined, _ = link_groups(bands.select(F.col("band").alias("bucket"), F.col("doc_id").alias("item")), links_of, rounds)
+    joined = link_groups(bands.select(F.col("band").alias("bucket"), F.col("doc_id").alias("item")), links_of, rounds)
     groups = member.join(joined.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(
         F.min(F.coalesce("component", "rep")).alias("component_id"))
     return (sketches.select("doc_id", "n_shingles").join(groups, "doc_id", "left")
