@@ -219,6 +219,21 @@ def test_line_join(spark):
     assert lines.line_report(docs_of(spark, [])).count() == 0
 
 
+def test_line_join_in_large_buckets(spark):
+    rng = np.random.RandomState(5)
+    base = "straße éclair niño one two three four five six seven eight nine".split()
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for at in rng.choice(12, rng.randint(0, 4), replace=False):
+            words[at] = f"word{rng.randint(6)}"
+        texts.append("\t ".join(words) if i % 7 == 0 else " ".join(words))
+    root = groups([set(words_of(t)) for t in texts])
+    assert len(texts) > 3 * lines.SMALL and 1 < len(set(root)) < 60
+    got = {r.doc_id: r.n_removed for r in lines.line_report(docs_of(spark, list(enumerate(texts)))).collect()}
+    assert got == {i: int(r != i) for i, r in enumerate(root)}
+
+
 def test_spotsigs(spark, odd, none):
     text = {}
     for i, t in ODD:
