@@ -132,18 +132,19 @@ def _(v):
 
 
 @q("JN08_trace_fields_to_lines", f"""
-   with val as (select land_record_id as doc_id, field_name, case when ordinal = 6 then 'nowhere to be seen' else extracted_value end as value
+   with ol as materialized (select * from ocr_lines),
+   val as materialized (select land_record_id as doc_id, field_name, case when ordinal = 6 then 'nowhere to be seen' else extracted_value end as value
                 from fields where ordinal in (1, 2, 5, 6, 8)),
    al(field_name, a, r) as (values {', '.join(f"('{n}', '{t.replace(chr(39), chr(39) * 2)}', {i + 1})" for n in ('owner_name', 'father_husband_name', 'land_area', 'village', 'district') for i, t in enumerate(dims.FIELD_ALIASES[n][:6]))}),
-   hit as (select v.doc_id, v.field_name, 0 as rank, l.line_no from val v join ocr_lines l on l.doc_id = v.doc_id
+   hit as materialized (select v.doc_id, v.field_name, 0 as rank, l.line_no from val v join ol l on l.doc_id = v.doc_id
              where contains(lower(l.text), lower(trim(v.value))) and lower(trim(v.value)) not in ('not found', 'none', '')
-           union all select v.doc_id, v.field_name, al.r, l.line_no from val v join al on al.field_name = v.field_name join ocr_lines l on l.doc_id = v.doc_id
+           union all select v.doc_id, v.field_name, al.r, l.line_no from val v join al on al.field_name = v.field_name join ol l on l.doc_id = v.doc_id
              where contains(lower(l.text), al.a) and lower(trim(v.value)) not in ('not found', 'none', '')),
    best as (select doc_id, field_name, min(rank * 1000 + line_no) % 1000 as line_no from hit group by 1, 2)
    select v.doc_id, v.field_name, v.value, coalesce(l.text, trim(v.value)) as source_text, l.x1 as x, l.x2 - l.x1 as w,
      case when lower(trim(v.value)) = 'not found' then 0.0::double else coalesce(round(l.confidence * 100, 1), 90.0::double) end as ocr_confidence
    from val v left join best b on b.doc_id = v.doc_id and b.field_name = v.field_name
-   left join ocr_lines l on l.doc_id = b.doc_id and l.line_no = b.line_no""", "fields", "ocr_lines")
+   left join ol l on l.doc_id = b.doc_id and l.line_no = b.line_no""", "fields", "ocr_lines")
 def _(v):
     values = v.fields.where("ordinal in (1, 2, 5, 6, 8)").selectExpr(
         "land_record_id as doc_id", "field_name", "case when ordinal = 6 then 'nowhere to be seen' else extracted_value end as value")
