@@ -17,17 +17,27 @@ from landq.llm.common import pick_name, small_batches
 ROUNDS = 10
 #: Days that dates are permuted over.
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
-DATE_FORMS = ["%Y-%m-%d", "%Y/%m/%d", "%d.%m.%Y", "%m/%d/%Y", "%d-%m-%Y"]
-FIND = re.compile(r"""
-    (?P<secret>(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s*[=:]\s*["']?)(?P<value>[A-Za-z0-9+/_\-]{12,}))
-  | (?P<email>(?<![\w.+\-])[A-Za-z0-9][\w.+\-]*@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}\b)
-  | (?P<iban>\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)
-  | (?P<date>(?<![\d./\-])(?:\d{4}[\-/]\d{2}[\-/]\d{2}|\d{2}[./\-]\d{2}[./\-]\d{4})(?![\d/\-]|\.\d))
-  | (?P<ipv4>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d))
-  | (?P<ssn>(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-]))
-  | (?P<card>(?<![\d\-])\d(?:[ \-]?\d){12,18}(?![\d]|-\d))
-  | (?P<phone>(?<![\w+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,3}|\(\d{3}\)[ .\-]?\d{3}[.\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\w]|-\d))
-""", re.X)
+#: Month first where a date with slashes can be read both ways.
+DATE_FORMS = ["%Y-%m-%d", "%Y/%m/%d", "%d.%m.%Y", "%m/%d/%Y", "%d-%m-%Y", "%d/%m/%Y"]
+PATTERNS = {
+    "secret": r"""(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s*[=:]\s*["']?)(?P<value>[A-Za-z0-9+/_\-]{12,})""",
+    "email": r"(?<![\w.+\-])[A-Za-z0-9][\w.+\-]*@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}\b",
+    "iban": r"\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b",
+    "date": r"(?<![\d./\-])(?:\d{4}[\-/]\d{2}[\-/]\d{2}|\d{2}[./\-]\d{2}[./\-]\d{4})(?![\d/\-]|\.\d)",
+    "ipv4": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)",
+    "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
+    "card": r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?![\d]|-\d)",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,3}|\(\d{3}\)[ .\-]?\d{3}[.\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\w]|-\d)",
+}
+FIND = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
+ALONE = {kind: re.compile(pattern) for kind, pattern in PATTERNS.items()}
+TOKEN, GROUP = re.compile(r"[A-Za-z0-9]+|[\s\S]"), re.compile(r"[ \-]?(\d+)")
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {country: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for country in countries.split()}
 #: A text with none of these has nothing to find.
 HINT = re.compile(r"\d\d|@|(?i:password|passwd|pwd|token|secret|key)")
 
@@ -86,6 +96,45 @@ def iban_check(country: str, body: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in body + country + '00')) % 97:02d}"
 
 
+def card_runs(text: str, start: int) -> list[tuple[int, bool]]:
+    """Ends of the runs of 13 to 19 digits from `start` to the end of a group that pass their check digit, and whether the
+    groups are those of a card (one, fours, or 4-6-4 and 4-6-5); those first, then the longest."""
+    found, sizes, at = [], [], start
+    while sum(sizes) < 19 and (group := GROUP.match(text, at)):
+        at = group.end()
+        sizes.append(len(group.group(1)))
+        raw = re.sub(r"\D", "", text[start:at])
+        if 13 <= len(raw) <= 19 and len(set(raw)) > 1 and luhn_digit(raw[:-1]) == raw[-1]:
+            fours = set(sizes[:-1]) == {4} and sizes[-1] <= 4
+            found.append((at, len(sizes) == 1 or fours or sizes in ([4, 6, 4], [4, 6, 5])))
+    return sorted(found, key=lambda run: (run[1], run[0]), reverse=True)
+
+
+def card_ends(text: str, start: int) -> list[int]:
+    """Ends of the card at `start`, none where one in groups of a card begins inside of it."""
+    runs = card_runs(text, start)
+    if runs and not runs[0][1]:
+        at = GROUP.match(text, start).end()
+        while at < runs[0][0]:
+            if any(card for _, card in card_runs(text, at + 1)):
+                return []
+            at = GROUP.match(text, at).end()
+    return [end for end, _ in runs]
+
+
+def shorter(kind: str, text: str, start: int, end: int) -> list[int]:
+    """Ends of what may be a value of `kind` at `start`, the most certain first, for a match that ends at `end`."""
+    if kind == "iban":
+        length, tight = IBAN_LENGTHS.get(text[start:start + 2]), [i for i in range(start, end) if text[i] != " "]
+        borders = [i + 1 for i in tight[14:] if i + 1 == end or text[i + 1] == " "][::-1]
+        if length:
+            return [i for i in borders if i - 1 == (tight[length - 1] if length <= len(tight) else None)] + [end]
+        return borders
+    if kind == "phone":
+        return [end, *[i for i in range(end - 1, start, -1) if text[i] in " .-" and text[i - 1].isdigit()]]
+    return [end]
+
+
 class Pseudonyms:
     """Finds values in a text, checks them, and gives each its pseudonym. Equal values have equal pseudonyms under a key."""
 
@@ -181,24 +230,46 @@ class Pseudonyms:
         """The text with pseudonyms, and the spans of the original that were replaced: (start, end, kind)."""
         if not HINT.search(text):
             return text, []
-        out, spans, last = [], [], 0
-        for match in FIND.finditer(text):
-            kind = match.lastgroup if match.lastgroup != "value" else "secret"
-            kind = "secret" if match.group("secret") else kind
-            start, end = match.span("value") if kind == "secret" else match.span()
-            found = text[start:end]
-            key = (kind, found)
-            if key not in self.known:
-                if len(self.known) > 200_000:
-                    self.known.clear()
-                self.known[key] = self.make(kind, found)
-            new = self.known[key]
-            if new is not None:
-                out += [text[last:start], new]
-                spans.append((start, end, kind))
-                last = end
+        out, spans, last, at = [], [], 0, 0
+        while match := FIND.search(text, at):
+            hit = self.first_valid(text, match)
+            if not hit:
+                at = TOKEN.match(text, match.start()).end()
+                continue
+            kind, start, end, new = hit
+            out += [text[last:start], new]
+            spans.append((start, end, kind))
+            last = at = end
         return "".join(out) + text[last:], spans
 
+    def valid(self, kind: str, found: str) -> str | None:
+        key = (kind, found)
+        if key not in self.known:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[key] = self.make(kind, found)
+        return self.known[key]
+
+    def first_valid(self, text: str, match: re.Match) -> tuple[str, int, int, str] | None:
+        """Kind, start, end and pseudonym of the value where `match` starts: of the first kind, and of the most certain end."""
+        place, chain = match.start(), 0
+        for kind, pattern in ALONE.items():
+            found = pattern.match(text, place)
+            if not found:
+                continue
+            start, end = found.span("value") if kind == "secret" else found.span()
+            chain = end if kind == "card" else chain
+            for end in card_ends(text, start) if kind == "card" else shorter(kind, text, start, end):
+                new = self.valid(kind, text[start:end])
+                if new is not None:
+                    return kind, start, end, new
+        at = GROUP.match(text, place).end() if chain else 0
+        while at < chain and text[at] == "-":  # the search doesn't come to a card behind a hyphen
+            for end, _ in card_runs(text, at + 1)[:1]:
+                return "card", at + 1, end, self.valid("card", text[at + 1:end])
+            at = GROUP.match(text, at).end()
+        return None
+
 
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 

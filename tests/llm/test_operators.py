@@ -305,3 +305,23 @@ def test_pipeline(spark):
     encode, names = encoder(BYTES), pii.Pseudonyms(corpus_pipeline.queries.KEY)
     total = sum(len(encode(names.replace(text[i])[0] if text[i] else "")) + 1 for i in kept)
     assert rows.agg(F.sum("length")).first()[0] == total
+
+
+@pytest.mark.parametrize("text, value, kind", [
+    ("AT61 1904 3002 3457 3201 EUR", "AT61 1904 3002 3457 3201", "iban"), ("BE68 5390 0754 7034 BIC", "BE68 5390 0754 7034", "iban"),
+    ("ES9121000418450200051332 EUR", "ES9121000418450200051332", "iban"), ("order 12 4111 1111 1111 1111", "4111 1111 1111 1111", "card"),
+    ("paid 4111 1111 1111 1111 12 times", "4111 1111 1111 1111", "card"), ("ID12 4111 1111 1111 1111", "4111 1111 1111 1111", "card"),
+    ("no 12-4111-1111-1111-1111", "4111-1111-1111-1111", "card"), ("99 88 77 4111 1111 1111 1111", "4111 1111 1111 1111", "card"),
+    ("on 25/12/2020 at", "25/12/2020", "date"), ("on 03/04/2020 at", "03/04/2020", "date")])
+def test_pseudonyms_beside_other_words(text, value, kind):
+    new, spans = pii.Pseudonyms(b"k").replace(text)
+    assert [(text[s:e], k) for s, e, k in spans] == [(value, kind)] and value not in new
+    alone = pii.Pseudonyms(b"k").replace(value)[0]
+    assert new == text.replace(value, alone)
+
+
+def test_pseudonyms_of_a_phone_before_a_card():
+    text = "415-555-2671 4111 1111 1111 1111"
+    assert [text[s:e] for s, e, _ in pii.Pseudonyms(b"k").replace(text)[1]] == ["415-555-2671", "4111 1111 1111 1111"]
+    for text in ("31/02/2020", "4111 1111 1111 1112", "999.1.1.1", "ID12 1234 5678 9012"):
+        assert pii.Pseudonyms(b"k").replace(text) == (text, [])
