@@ -39,7 +39,7 @@ IBAN_LENGTHS = {country: n for n, countries in {
     26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
     30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for country in countries.split()}
 #: A text with none of these has nothing to find.
-HINT = re.compile(r"\d\d|@|(?i:password|passwd|pwd|token|secret|key)")
+HINT = re.compile(r"\d[ .\-]?\d|@|(?i:password|passwd|pwd|token|secret|key)")
 
 
 class Feistel:

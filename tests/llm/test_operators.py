@@ -325,3 +325,18 @@ def test_pseudonyms_of_a_phone_before_a_card():
     assert [text[s:e] for s, e, _ in pii.Pseudonyms(b"k").replace(text)[1]] == ["415-555-2671", "4111 1111 1111 1111"]
     for text in ("31/02/2020", "4111 1111 1111 1112", "999.1.1.1", "ID12 1234 5678 9012"):
         assert pii.Pseudonyms(b"k").replace(text) == (text, [])
+
+
+def test_hint_holds_all_that_is_found():
+    names, plain = pii.Pseudonyms(b"k"), re.compile("")
+    for text in ("resolver 8.8.8.8 answered", "1.1.1.1", "card 4-1 1-1 1 1-1 1-1 1 1 1 1 1 1 1", "pwd: abcdefghijkl", "a@b.cd", "+1 (5) 22 333 4444"):
+        new = names.replace(text)[0]
+        pii_hint, pii.HINT = pii.HINT, plain
+        try:
+            assert names.replace(text)[0] == new != text
+        finally:
+            pii.HINT = pii_hint
+    rng = np.random.RandomState(2)
+    for _ in range(3000):
+        text = "".join(rng.choice(list("0123456789.-/ @:=+()aAgtkey"), 24))
+        assert pii.HINT.search(text) or not pii.FIND.search(text)
