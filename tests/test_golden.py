@@ -114,3 +114,24 @@ def test_rules(spark):
 
 def test_fixed_values():
     assert len(dims.LANGUAGES) == 13 and len(dims.INDIC_DIGITS) == 100 and len(dims.RULE_CATALOG) == 14
+
+
+def test_every_term_of_the_dictionaries(spark):
+    """The counts and hashes are those of the reference's TERM_MAPPINGS and FIELD_ALIASES."""
+    import hashlib
+    import json
+
+    from landq.operators.dictionary import canonical_field, match_alias
+
+    def plain(t):
+        return t.lower().replace(":", "").replace("-", " ").replace(".", "")
+    for lists, n, code, column, first in (
+            (dims.FIELD_TERMS, 450, "0dd2b5c856f7b882", canonical_field, lambda label: label if label in dims.CANONICAL_FIELDS else next(
+                k for k, ts in dims.FIELD_TERMS.items() for t in ts if t.lower() in label or label in t.lower())),
+            (dims.FIELD_ALIASES, 274, "4a4b899501f18ef5", match_alias, lambda label: next(
+                k for k, ts in dims.FIELD_ALIASES.items() for t in ts if plain(t) in plain(label)))):
+        terms = [t for ts in lists.values() for t in ts]
+        assert len(terms) == n and hashlib.sha256(json.dumps(lists).encode()).hexdigest()[:16] == code
+        got = spark.createDataFrame([(t,) for t in terms], "label string").select("label", column(F.col("label")).alias("field")).collect()
+        assert [(r.label, r.field) for r in got] == [(t, first(t.lower())) for t in terms]
+    assert one(spark, match_alias(F.lit("জেলা"))) == "district" and one(spark, canonical_field(F.lit("ജില്ല"))) == "district"
