@@ -66,6 +66,20 @@ def stems(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return np.concatenate(rows), np.concatenate(keys), np.bincount(doc, minlength=len(at))
 
 
+def repeated_stems(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words and beginnings of `stems`, each once, and features of their own for the second, third and fifth time in a text."""
+    rows, keys, words = stems(buf, at)
+    pairs = np.sort(rows << BITS | keys)
+    new = np.flatnonzero(np.diff(pairs, prepend=-1))
+    before = np.arange(len(pairs)) - np.repeat(new, np.diff(np.append(new, len(pairs))))
+    rows, keys = [pairs[new] >> BITS], [pairs[new] & (1 << BITS) - 1]
+    for n in (1, 2, 4):
+        again = pairs[before == n]
+        rows.append(again >> BITS)
+        keys.append(bucket(mix((again & (1 << BITS) - 1).astype(np.uint64)), 20 + n))
+    return np.concatenate(rows), np.concatenate(keys), words
+
+
 def features(texts: list[str | None], extract: Callable) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Runs of texts: first row, rows and buckets of what they hold (with repeats), words of each text."""
     for first, buf, at in blocks(texts):

@@ -10,19 +10,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landq.llm.common import pick_name, small_batches
-from landq.llm.linear import BITS, Leader, orders, sigmoid, stems, sums, training_rows
+from landq.llm.linear import BITS, Leader, orders, repeated_stems, sigmoid, sums, training_rows
 
 #: Labelled documents of either class that are learned from, at most.
 SAMPLE = 4000
 
 
-def telling(rows: list[tuple[int, int, np.ndarray]], odds: float = 20.0, least: int = 8) -> np.ndarray:
-    """The features that `least` toxic rows hold, and toxic rows `odds` times as often as others: all others stay without weight."""
+def telling(rows: list[tuple[int, int, np.ndarray]], odds: float = 3.0, least: int = 2, sure: float = 20.0) -> np.ndarray:
+    """The features that `least` toxic rows hold, and toxic rows `odds` times as often as others, by more than chance: the
+    likelihood ratio statistic against one rate for both is `sure` or more. Only these are learned.
+
+    With thousands of features and hundreds of toxic rows, most that are held `odds` times as often are so by chance.
+    """
     count, size = np.zeros((2, 1 << BITS)), np.zeros(2)
     for y, _, keys in rows:
         count[y, keys] += 1
         size[y] += 1
-    return (count[1] >= least) & ((count[1] + 0.5) / (size[1] + 1) >= odds * (count[0] + 0.5) / (size[0] + 1))
+    expected = count.sum(axis=0) * size[:, None] / size.sum()
+    ratio = 2 * (count * np.log(np.maximum(count, 1) / np.maximum(expected, 1e-9))).sum(axis=0)
+    return (count[1] >= least) & ((count[1] + 0.5) / (size[1] + 1) >= odds * (count[0] + 0.5) / (size[0] + 1)) & (ratio >= sure)
 
 
 def grades(rows: list[tuple[int, int, np.ndarray]]) -> list[int]:
@@ -98,7 +104,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     Only the text counts; null and empty texts have no features and are kept; equal texts score alike. Without labels of both
     classes nothing is rejected. All rows and columns of `docs` stay; if it has columns of these names, the new ones get underscores behind them.
     """
-    rows = training_rows(docs, labels, "toxic", stems, sample)
+    rows = training_rows(docs, labels, "toxic", repeated_stems, sample)
     weights, thresholds, cut = train(rows) if {r[0] for r in rows} == {0, 1} else (np.zeros(1 << BITS, np.float32), np.array([50.0, 50.0]), 1.0)
     small_batches(docs.sparkSession)
     names = [pick_name(docs, n) for n in ("severity", "grade", "rejected")]
@@ -107,7 +113,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            passed = sigmoid(sums(batch.column(at).to_pylist(), stems, weights)[:, None] - thresholds)
+            passed = sigmoid(sums(batch.column(at).to_pylist(), repeated_stems, weights)[:, None] - thresholds)
             grade = (passed >= 0.5).sum(axis=1).astype(np.int32)
             severity = passed.sum(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(severity), pa.array(grade), pa.array(severity >= cut)],

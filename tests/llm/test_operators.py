@@ -340,3 +340,22 @@ def test_hint_holds_all_that_is_found():
     for _ in range(3000):
         text = "".join(rng.choice(list("0123456789.-/ @:=+()aAgtkey"), 24))
         assert pii.HINT.search(text) or not pii.FIND.search(text)
+
+
+def test_moderate_evidence_of_a_language_with_few_toxic_labels(spark):
+    rng = np.random.RandomState(6)
+
+    def text(lang, toxic):
+        words = [f"{lang}{rng.randint(300)}" for _ in range(80)]
+        for _ in range(rng.randint(3, 7) if toxic else rng.rand() < 0.2):  # clean texts hold the root too, once at most
+            words[rng.randint(80)] = f"{lang}zoter{rng.choice(list('abcdefgh'))}"
+        return " ".join(words)
+    rows = [(i, text(lang, toxic), lang, toxic) for i, (lang, toxic) in enumerate(
+        [("en", 0)] * 900 + [("en", 1)] * 120 + [("es", 0)] * 300 + [("es", 1)] * 30)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, _, y in rows], "doc_id bigint, toxic int")
+    rejected = {r.doc_id for r in toxicity.toxicity_scores(docs, labels).filter("rejected").collect()}
+    held = [(i, lang, y) for i, _, lang, y in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    for lang in ("en", "es"):
+        toxic, clean = [[i in rejected for i, g, y in held if g == lang and y == want] for want in (1, 0)]
+        assert np.mean(toxic) > 0.7 and np.mean(clean) < 0.05
