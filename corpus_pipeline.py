@@ -17,7 +17,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, their texts without lines that repeat an earlier one."""
-    return lines.drop_repeated_lines(docs)
+    return lines.drop_repeated_lines(docs, least=lines.EVERY)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from landq.llm.common import small_batches, spool
 from landq.llm.components import link_groups
 
-#: Lines of fewer different tokens (headings, rules, single words) are left alone.
-LEAST_TOKENS = 4
+#: The operators' default: lines of fewer different tokens (headings, rules, single words) are left alone. The queries take EVERY.
+LEAST_TOKENS, EVERY = 4, 1
 #: Counters that tokens are counted in by hash. Only the order of tokens depends on them, never which lines are linked.
 COUNTERS = 1 << 18
 #: Classes of lines that share a token and meet without a lead.
@@ -90,7 +90,8 @@ def repeated_lines(docs: DataFrame, limit: float = 0.8, least: int = LEAST_TOKEN
     rows = lines.select("doc_id", "copy", "line_no", "item", "n", parity("tokens").alias("bits"), prefix(rarity(lines), percent).alias("prefix"))
     classes = spool(rows.groupBy("item").agg(F.min(F.struct("doc_id", "copy", "line_no")).alias("first"), F.count("*").alias("lines"),
                                              F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")), "line-classes")
-    entries = classes.select("item", "n", "bits", F.posexplode("prefix").alias("place", "bucket"))
+    # A set of n can be linked to another one only if n / (n + 1) reaches the limit; smaller ones are linked to equal sets alone.
+    entries = classes.filter(f"n * 100 >= (n + 1) * {percent}").select("item", "n", "bits", F.posexplode("prefix").alias("place", "bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = spool(entries.join(shared, "bucket"), "line-buckets")
 

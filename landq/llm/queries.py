@@ -56,7 +56,7 @@ def op9_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_line_join(spark: SparkSession, folder: str) -> DataFrame:
-    return lines.line_report(table(spark, folder, "documents"))
+    return lines.line_report(table(spark, folder, "documents"), least=lines.EVERY)
 
 
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:

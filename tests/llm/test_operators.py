@@ -342,6 +342,22 @@ def test_hint_holds_all_that_is_found():
         assert pii.HINT.search(text) or not pii.FIND.search(text)
 
 
+def test_line_queries_take_lines_of_every_length(spark, tmp_path):
+    import corpus_pipeline
+    short = ["All rights reserved.", "Menu", "日" * 200, "one two", "two one", "one three", "a b c", "a b c d", "a b c d e", ""]
+    rng = np.random.RandomState(4)
+    rows = [(i, "\n".join(short[rng.randint(len(short))] for _ in range(rng.randint(1, 6)))) for i in range(60)]
+    places = [(i, n, set(words_of(line))) for i, t in rows for n, line in enumerate(t.split("\n")) if words_of(line)]
+    root = groups([words for _, _, words in places])
+    gone = {(i, n) for at, (i, n, _) in enumerate(places) if root[at] != at}
+    docs_of(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, n) for r in corpus_pipeline.queries.op10_line_join(spark, str(tmp_path)).collect() for n in r.removed_lines}
+    assert got == gone and len(gone) > 50
+    cut = corpus_pipeline.without_repeated_lines(spark, docs_of(spark, rows), str(tmp_path))
+    assert {(r.doc_id, r.text) for r in cut.collect()} == {
+        (i, "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone)) for i, t in rows}
+
+
 def test_moderate_evidence_of_a_language_with_few_toxic_labels(spark):
     rng = np.random.RandomState(6)
 
