@@ -57,11 +57,10 @@ def _(v):
    "lr", "cad", "actions")
 def _(v):
     folder = work_folder(v.spark)
-    v.lr.write.parquet(review.version_path(f"{folder}/records", 0))
     v.actions.write.parquet(f"{folder}/actions")
     stream = review.read_events(v.spark, f"{folder}/actions")
-    run(review.stream_apply_actions(stream, f"{folder}/records", v.cad, f"{folder}/checkpoint"))
-    return review.latest_before(v.spark, f"{folder}/records", 1 << 40).select("id", "status", "is_public", "land_area")
+    run(review.stream_apply_actions(stream, f"{folder}/last", f"{folder}/checkpoint"))
+    return review.records_after(f"{folder}/last", v.lr, v.cad).select("id", "status", "is_public", "land_area")
 
 
 @q("ST04_stream_language_telemetry", TELEMETRY_SQL.replace("end as accuracy", "end / 100.0::double as accuracy"), "verifications")

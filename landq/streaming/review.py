@@ -1,14 +1,15 @@
-"""Review events as a stream: each micro-batch makes a new version of a table, so a replayed batch changes nothing."""
+"""Review events as a stream: each micro-batch writes its own part or version of a table, so a replayed batch changes nothing."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from landq import schemas
 from landq.operators.telemetry import language_telemetry, start_state
-from landq.operators.workflow import apply_actions
+from landq.operators.workflow import apply_actions, known_actions
 
 
 def read_events(spark: SparkSession, folder: str, schema=schemas.ACTION, files_per_batch: int = 100) -> DataFrame:
@@ -40,10 +41,27 @@ def versioned(folder: str, change: Callable[[DataFrame, DataFrame], DataFrame])
     return step
 
 
-def stream_apply_actions(stream: DataFrame, folder: str, parcels: DataFrame, checkpoint: str):
-    """Apply the review actions of each batch to the record table in `folder`; gives the query writer."""
-    step = versioned(folder, lambda records, batch: apply_actions(records, batch, parcels))
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+LAST = "record_id bigint, action string, last struct<ts: timestamp, event_id: bigint>"
+
+
+def stream_apply_actions(stream: DataFrame, folder: str, checkpoint: str):
+    """Keep the last of each kind of action per record in keyed state, and append what a batch changed to `folder`.
+
+    An action's effect depends on its kind alone, so these settle a record whatever the batches and their order. A batch
+    that runs again overwrites its own part. Gives the query writer; `records_after` reads the outcome.
+    """
+    last = known_actions(stream).groupBy("record_id", "action").agg(F.max(F.struct("ts", "event_id")).alias("last"))
+    stream.sparkSession.createDataFrame([], LAST).write.mode("overwrite").parquet(f"{folder}/batch=-1")
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+    return last.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint)
+
+
+def records_after(folder: str, records: DataFrame, parcels: DataFrame) -> DataFrame:
+    """`records` after the actions that `stream_apply_actions` has kept in `folder`."""
+    kept = records.sparkSession.read.schema(LAST).parquet(f"{folder}/batch=*")
+    return apply_actions(records, kept.select("record_id", "action", "last.ts", "last.event_id"), parcels)
 
 
 def start_telemetry(spark: SparkSession, folder: str) -> None:

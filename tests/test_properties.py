@@ -184,3 +184,19 @@ def test_read_json_records(spark, tmp_path):
     path.write_text('[{"owner_name": "A", "land_area": 2.45, "is_public": true, "coordinates_geojson": {"type": "Polygon", "coordinates": [[[77.4, 23.2], [77.5, 23.2], [77.4, 23.2]]]}}]')
     row = land.read_land_records(spark, str(path)).first()
     assert row.owner_name == "A" and row.coordinates_geojson.coordinates[0][1] == [77.5, 23.2]
+
+
+def test_stream_of_actions_does_not_depend_on_its_batches(spark):
+    from landq.session import shared_folder
+    from landq.streaming import review
+    v = Views(spark, "/root/testdata/sf0.001")
+    folder = shared_folder(spark, "shuffled-actions")
+    v.actions.repartition(8, F.rand(5)).write.parquet(f"{folder}/actions")
+    out = []
+    for n in (100, 1):
+        stream = review.read_events(spark, f"{folder}/actions", files_per_batch=n)
+        review.stream_apply_actions(stream, f"{folder}/last{n}", f"{folder}/checkpoint{n}").trigger(availableNow=True).start().awaitTermination(120)
+        rows = review.records_after(f"{folder}/last{n}", v.lr, v.cad).select("id", "status", "is_public", "land_area").collect()
+        out.append(sorted(map(tuple, rows)))
+    want = workflow.apply_actions(v.lr, v.actions, v.cad).select("id", "status", "is_public", "land_area").collect()
+    assert out[0] == out[1] == sorted(map(tuple, want))
