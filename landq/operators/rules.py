@@ -1,4 +1,6 @@
-"""Validation rules as column expressions; each gives struct(rule_id, rule_name, status, message).
+"""Validation rules as column expressions; each gives struct(rule_id, rule_name, status, message, details, severity, requires_review).
+
+`details` is JSON text; severity and requires_review belong to the cadastral rule alone and are NULL elsewhere.
 
 Set A has 14 rules, set B 8 stricter ingest rules. The facts a rule needs from other rows (parcel of the survey
 number, another record with the same number) are joined in first, reduced to one row per key.
@@ -21,14 +23,22 @@ def text(column: str) -> Column:
     return F.trim(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
-def row(rule_id: str, name: str, status: Column, message: Column) -> Column:
+def facts(**values: Column) -> Column:
+    """The named values as JSON text; NULL values are kept."""
+    return F.to_json(F.struct(*[v.alias(k) for k, v in values.items()]), {"ignoreNullFields": "false"})
+
+
+def row(rule_id: str, name: str, status: Column, message: Column, details: Column | None = None, severity: Column | None = None,
+        requires_review: Column | None = None) -> Column:
     return F.struct(F.lit(rule_id).alias("rule_id"), F.lit(name).alias("rule_name"), status.alias("status"),
-                    message.alias("message"))
+                    message.alias("message"), (F.lit(None) if details is None else details).cast("string").alias("details"),
+                    (F.lit(None) if severity is None else severity).cast("string").alias("severity"),
+                    (F.lit(None) if requires_review is None else requires_review).cast("boolean").alias("requires_review"))
 
 
-def _a(number: int, status: Column, message: Column) -> Column:
+def _a(number: int, status: Column, message: Column, details: Column, **more: Column) -> Column:
     rule_id = f"RULE-{number:02d}"
-    return row(rule_id, NAMES_A[rule_id], status, message)
+    return row(rule_id, NAMES_A[rule_id], status, message, details, **more)
 
 
 def _say(*parts: Column | str) -> Column:
@@ -54,14 +64,15 @@ def mandatory() -> Column:
     bad = F.size(lacking) > 0
     return _a(1, F.when(bad, "ERROR").otherwise("PASS"),
               F.when(bad, _say("Missing mandatory field(s): ", F.array_join(lacking, ", ")))
-              .otherwise("All mandatory legal fields present."))
+              .otherwise("All mandatory legal fields present."), facts(missing_fields=lacking))
 
 
 def survey_syntax() -> Column:
     ok = text("survey_number").rlike("^[0-9]+(/[0-9A-Za-z]+)?$")
     return _a(2, F.when(ok, "PASS").otherwise("WARNING"),
               F.when(ok, _say("Survey number '", text("survey_number"), "' format is compliant."))
-              .otherwise(_say("Survey number '", text("survey_number"), "' might have non-standard sub-division format.")))
+              .otherwise(_say("Survey number '", text("survey_number"), "' might have non-standard sub-division format.")),
+              facts(survey_number=text("survey_number")))
 
 
 def area_bounds() -> Column:
@@ -69,7 +80,8 @@ def area_bounds() -> Column:
     ok = F.coalesce(F.col("land_area").try_cast("double").between(0.01, 5000.0), F.lit(False))
     return _a(3, F.when(ok, "PASS").otherwise("ERROR"),
               F.when(ok, _say("Land area (", area.cast("string"), " Acres) is within permissible realistic bounds."))
-              .otherwise(_say("Invalid land area (", area.cast("string"), " Acres). Must be > 0 and <= 5000 Acres.")))
+              .otherwise(_say("Invalid land area (", area.cast("string"), " Acres). Must be > 0 and <= 5000 Acres.")),
+              facts(land_area=area))
 
 
 def lineage() -> Column:
@@ -77,7 +89,8 @@ def lineage() -> Column:
     both = owner & (F.length(text("father_husband_name")) >= 3)
     return _a(4, F.when(both, "PASS").when(owner, "WARNING").otherwise("ERROR"),
               F.when(both, "Owner identity and lineage verified.")
-              .otherwise("Father/Husband name is missing or ambiguous."))
+              .otherwise("Father/Husband name is missing or ambiguous."),
+              facts(owner_name=text("owner_name"), father_husband_name=text("father_husband_name")))
 
 
 def chronology(as_of: str) -> Column:
@@ -87,7 +100,7 @@ def chronology(as_of: str) -> Column:
     late = F.coalesce(parsed > F.lit(as_of).cast("timestamp"), F.lit(False))
     return _a(5, F.when(late, "ERROR").otherwise("PASS"),
               F.when(late, _say("Registration date '", value, "' is invalid or set in the future."))
-              .otherwise("Registration date is chronological and verified."))
+              .otherwise("Registration date is chronological and verified."), facts(registration_date=value))
 
 
 def hierarchy() -> Column:
@@ -95,11 +108,12 @@ def hierarchy() -> Column:
     return _a(6, F.when(ok, "PASS").otherwise("WARNING"),
               F.when(ok, _say("Administrative hierarchy verified for ", text("tehsil"), ", ", text("district"), ", ",
                               text("state"), "."))
-              .otherwise("Incomplete administrative jurisdiction specified."))
+              .otherwise("Incomplete administrative jurisdiction specified."),
+              facts(state=F.col("state"), district=F.col("district"), tehsil=F.col("tehsil")))
 
 
 def cadastral_match(tolerance: float = 0.01) -> Column:
-    """Needs `cadastral_area` joined in; no parcel passes."""
+    """Needs `cadastral_area` and `survey_year` joined in; no parcel passes, with empty details."""
     delta = F.abs(area_value() - F.col("cadastral_area"))
     off = F.coalesce(delta > tolerance, F.lit(False))
     return _a(7, F.when(off, "WARNING").otherwise("PASS"),
@@ -109,7 +123,10 @@ def cadastral_match(tolerance: float = 0.01) -> Column:
               .when(F.col("cadastral_area").isNotNull(),
                     _say("Cadastral ground truth matches perfectly (", F.col("cadastral_area").cast("string"), " Acres)."))
               .otherwise(_say("Survey parcel ", text("survey_number"),
-                              " verified without prior conflicting cadastral survey.")))
+                              " verified without prior conflicting cadastral survey.")),
+              F.when(F.col("cadastral_area").isNull(), "{}").otherwise(facts(
+                  cadastral_area=F.col("cadastral_area"), record_area=area_value(), delta=F.round(delta, 3), survey_year=F.col("survey_year"))),
+              severity=F.when(off, "ERROR").otherwise("INFO"), requires_review=off)
 
 
 def land_class() -> Column:
@@ -117,17 +134,17 @@ def land_class() -> Column:
     ok = value.isin(dims.LAND_CLASSES)
     return _a(8, F.when(ok, "PASS").otherwise("WARNING"),
               F.when(ok, _say("Land classification '", value, "' recognized by revenue code."))
-              .otherwise(_say("Unrecognized land classification '", value, "'.")))
+              .otherwise(_say("Unrecognized land classification '", value, "'.")), facts(land_classification=value))
 
 
 def deed_type() -> Column:
     value = F.coalesce("document_type", F.lit("Sale Deed"))
     return _a(9, F.when(value.isin(dims.DEED_TYPES), "PASS").otherwise("WARNING"),
-              _say("Standard statutory deed type recognized: ", value, "."))
+              _say("Standard statutory deed type recognized: ", value, "."), facts(document_type=value))
 
 
 def constant(number: int, message: str) -> Column:
-    return _a(number, F.lit("PASS"), F.lit(message))
+    return _a(number, F.lit("PASS"), F.lit(message), F.lit(CONSTANT_DETAILS[number]))
 
 
 def unique_registration() -> Column:
@@ -135,7 +152,8 @@ def unique_registration() -> Column:
     taken = F.col("duplicate_id").isNotNull()
     return _a(12, F.when(taken, "ERROR").otherwise("PASS"),
               F.when(taken, _say("Collision: Registration number '", text("registration_number"), "' already exists."))
-              .otherwise(_say("Registration number '", text("registration_number"), "' is unique.")))
+              .otherwise(_say("Registration number '", text("registration_number"), "' is unique.")),
+              facts(registration_number=text("registration_number"), is_duplicate=taken))
 
 
 def confidence_gate() -> Column:
@@ -143,9 +161,11 @@ def confidence_gate() -> Column:
     return _a(14, F.when(value >= 80, "PASS").when(value >= 60, "WARNING").otherwise("ERROR"),
               F.when(value >= 80, _say("Extraction confidence (", F.format_string("%.1f", value), "%) meets quality criteria."))
               .otherwise(_say("Moderate/Low confidence extraction (", F.format_string("%.1f", value),
-                              "%). Officer review required.")))
+                              "%). Officer review required.")), facts(confidence_score=value))
 
 
+#: Messages and details of the rules that always pass.
+CONSTANT_DETAILS = {10: '{"sro_verified":true}', 11: '{"encumbrance_status":"CLEAR"}', 13: '{"topology_valid":true}'}
 SEAL = "Sub-Registrar digital signature & biometric verification mark validated."
 DISPUTE = "No active injunction or revenue dispute on record."
 POLYGON = "Cadastral boundary coordinates form closed topological polygon."
@@ -158,7 +178,7 @@ def rule_set_a(as_of: str) -> list[Column]:
 
 
 def with_parcel(records: DataFrame, parcels: DataFrame) -> DataFrame:
-    side = parcels_for(parcels).select("survey_number", "cadastral_area", "cadastral_village")
+    side = parcels_for(parcels).select("survey_number", "cadastral_area", "cadastral_village", "survey_year")
     return records.join(side, "survey_number", "left")
 
 
@@ -174,10 +194,18 @@ def with_duplicate(records: DataFrame, registry: DataFrame) -> DataFrame:
     return joined.withColumn("duplicate_id", other).drop("low", "high")
 
 
-def evaluate_a(records: DataFrame, parcels: DataFrame, registry: DataFrame, as_of: str) -> DataFrame:
+STATUS = ("rule_id", "status")
+
+
+def results_of(rule_set: list[Column], columns: tuple[str, ...] | None) -> Column:
+    """The array of the rules' results, or of the named columns of each: what isn't named is not computed."""
+    return F.array(*[r if columns is None else F.struct(*[r[c].alias(c) for c in columns]) for r in rule_set])
+
+
+def evaluate_a(records: DataFrame, parcels: DataFrame, registry: DataFrame, as_of: str, columns: tuple[str, ...] | None = None) -> DataFrame:
     """Records with the array `results` of all 14 rules."""
-    facts = with_duplicate(with_parcel(records, parcels), registry)
-    return facts.withColumn("results", F.array(*rule_set_a(as_of)))
+    known = with_duplicate(with_parcel(records, parcels), registry)
+    return known.withColumn("results", results_of(rule_set_a(as_of), columns))
 
 
 def long_form(evaluated: DataFrame, key: str = "id") -> DataFrame:
@@ -200,9 +228,9 @@ def summarize_a(evaluated: DataFrame) -> DataFrame:
 
 
 def with_catalog(results: DataFrame, catalog: list[tuple] = dims.RULE_CATALOG) -> DataFrame:
-    """Results with the catalogued name and nominal severity. The catalog is short and fixed."""
+    """Results with the catalogued name and nominal severity (in place of their own). The catalog is short and fixed."""
     frame = results.sparkSession.createDataFrame(catalog, "rule_id string, catalog_name string, severity string")
-    return results.join(F.broadcast(frame), "rule_id")
+    return results.drop("severity").join(frame, "rule_id")
 
 
 # ---- set B ----------------------------------------------------------------------------------------------------
@@ -212,7 +240,7 @@ def b_required() -> Column:
     bad = F.size(lacking) > 0
     return row("RULE-01", "Required Fields Completeness Check", F.when(bad, "ERROR").otherwise("PASS"),
                F.when(bad, _say("Missing mandatory field(s): ", F.array_join(lacking, ", ")))
-               .otherwise("All mandatory land record fields are present"))
+               .otherwise("All mandatory land record fields are present"), F.when(bad, facts(missing_fields=lacking)))
 
 
 def b_survey() -> Column:
@@ -220,7 +248,7 @@ def b_survey() -> Column:
     bad = (value != "") & ~value.rlike("^[0-9]+(/[0-9]+[A-Za-z]*)?$")
     return row("RULE-02", "Survey Number Format Validation", F.when(bad, "WARNING").otherwise("PASS"),
                F.when(bad, _say("Survey number '", value, "' does not strictly match standard Tehsil notation (e.g. 123/4A)"))
-               .otherwise(_say("Survey number format valid: '", value, "'")))
+               .otherwise(_say("Survey number format valid: '", value, "'")), F.when(bad, '{"format_expected":"Digit/DigitSubdivision"}'))
 
 
 def b_area() -> Column:
@@ -230,7 +258,8 @@ def b_area() -> Column:
                F.when(F.coalesce(ok, F.lit(False)), "PASS").otherwise("ERROR"),
                F.when(parsed.isNull(), "Land area must be a numerical quantity")
                .when(ok, _say("Land area ", parsed.cast("string"), " Acres is within permissible range"))
-               .otherwise(_say("Invalid land area: ", parsed.cast("string"), " Acres (must be between 0.01 and 5000 Acres)")))
+               .otherwise(_say("Invalid land area: ", parsed.cast("string"), " Acres (must be between 0.01 and 5000 Acres)")),
+               F.when(parsed.isNull(), "{}").when(~ok, facts(area=parsed)))
 
 
 def b_duplicate_survey() -> Column:
@@ -239,7 +268,8 @@ def b_duplicate_survey() -> Column:
     return row("RULE-04", "Duplicate Survey Number Detection", F.when(hit, "WARNING").otherwise("PASS"),
                F.when(hit, _say("Duplicate survey number '", text("survey_number"), "' in village '", text("village"),
                                 "' already exists (Record #", F.col("survey_match.registration_number"), ")"))
-               .otherwise("No conflicting duplicate active survey parcel detected"))
+               .otherwise("No conflicting duplicate active survey parcel detected"),
+               F.when(hit, facts(existing_owner=F.col("survey_match.owner_name"), existing_reg=F.col("survey_match.registration_number"))))
 
 
 def b_unique_registration() -> Column:
@@ -247,7 +277,8 @@ def b_unique_registration() -> Column:
     return row("RULE-05", "Registration Number Uniqueness", F.when(taken, "ERROR").otherwise("PASS"),
                F.when(taken, _say("Registration Number '", text("registration_number"),
                                   "' already exists in the Official Land Registry"))
-               .otherwise(_say("Registration number '", text("registration_number"), "' is unique")))
+               .otherwise(_say("Registration number '", text("registration_number"), "' is unique")),
+               F.when(taken, facts(reg_no=text("registration_number"))))
 
 
 def b_cadastral(tolerance: float = 0.02) -> Column:
@@ -259,7 +290,10 @@ def b_cadastral(tolerance: float = 0.02) -> Column:
                .when(F.col("cadastral_area").isNotNull(),
                      _say("Land area verified with Cadastral DB (Extracted: ", area_value().cast("string"),
                           " Acres, Cadastral: ", F.col("cadastral_area").cast("string"), " Acres)"))
-               .otherwise(_say("Survey number '", text("survey_number"), "' cadastral baseline registered")))
+               .otherwise(_say("Survey number '", text("survey_number"), "' cadastral baseline registered")),
+               F.when(off, facts(extracted_area=area_value(), cadastral_area=F.col("cadastral_area"), delta=F.round(delta, 2),
+                                 cadastral_village=F.col("cadastral_village"))),
+               severity=F.when(off, "ERROR"), requires_review=F.when(off, True))
 
 
 def b_district(known: list[str] = dims.KNOWN_DISTRICTS) -> Column:
@@ -268,7 +302,7 @@ def b_district(known: list[str] = dims.KNOWN_DISTRICTS) -> Column:
     bad = (value != "") & ~listed
     return row("RULE-09", "Administrative District Boundary Verification", F.when(bad, "WARNING").otherwise("PASS"),
                F.when(bad, _say("District '", value, "' requires manual administrative zone confirmation"))
-               .otherwise(_say("District '", value, "' matched official administrative boundaries")))
+               .otherwise(_say("District '", value, "' matched official administrative boundaries")), F.when(bad, facts(district=value)))
 
 
 def b_timeline() -> Column:
@@ -290,10 +324,10 @@ def with_survey_match(records: DataFrame, registry: DataFrame, own_id: str = "id
     return records.join(found, "id", "left")
 
 
-def evaluate_b(records: DataFrame, parcels: DataFrame, registry: DataFrame) -> DataFrame:
+def evaluate_b(records: DataFrame, parcels: DataFrame, registry: DataFrame, columns: tuple[str, ...] | None = None) -> DataFrame:
     """Records with the array `results` of the ingest rules."""
-    facts = with_survey_match(with_duplicate(with_parcel(records, parcels), registry), registry)
-    return facts.withColumn("results", F.array(*rule_set_b()))
+    known = with_survey_match(with_duplicate(with_parcel(records, parcels), registry), registry)
+    return known.withColumn("results", results_of(rule_set_b(), columns))
 
 
 def summarize_b(evaluated: DataFrame) -> DataFrame:

@@ -114,7 +114,7 @@ def _(v):
 def _(v):
     hits = [duplicates.same_file(_files(v)), *duplicates.record_vectors(v.lr, v.lr), duplicates.low_confidence(_scores(v))]
     risk = duplicates.risk_score(v.lr, hits).select("id", "risk_score")
-    checks = rules.summarize_a(rules.evaluate_a(v.lr, v.cad, v.lr, "2026-01-01")).select("id", "has_errors")
+    checks = rules.summarize_a(rules.evaluate_a(v.lr, v.cad, v.lr, "2026-01-01", rules.STATUS)).select("id", "has_errors")
     joined = v.lr.select("id", "district").join(risk, "id").join(checks, "id")
     return joined.groupBy("district").agg(
         F.count("*").alias("records"), F.count_if(F.col("risk_score") >= 40).alias("duplicates"),
