@@ -1,14 +1,13 @@
-"""Review events as a stream: each micro-batch writes its own part or version of a table, so a replayed batch changes nothing."""
+"""Review events as a stream: each micro-batch writes its own part of a table, so a replayed batch changes nothing."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from landq import schemas
-from landq.operators.telemetry import language_telemetry, start_state
+from landq import dims, schemas
+from landq.operators.telemetry import HIGH, LOW, known_language, start_state
 from landq.operators.workflow import apply_actions, known_actions
 
 
@@ -16,31 +15,6 @@ def read_events(spark: SparkSession, folder: str, schema=schemas.ACTION, files_p
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def version_path(folder: str, version: int) -> str:
-    return f"{folder}/version={version}"
-
-
-def latest_before(spark: SparkSession, folder: str, version: int) -> DataFrame:
-    """The newest version below `version`. Version 0 is the start; batch n writes version n + 1."""
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    versions = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(fs_path)
-                if s.getPath().getName().startswith("version=")
-                and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return spark.read.parquet(version_path(folder, max(v for v in versions if v < version)))
-
-
-def versioned(folder: str, change: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch step: read the last complete version, change it by the batch, write the version of the batch.
-
-    The version written depends on the batch id alone, and is overwritten when the batch is run again.
-    """
-    def step(batch: DataFrame, batch_id: int) -> None:
-        current = latest_before(batch.sparkSession, folder, batch_id + 1)
-        change(current, batch).write.mode("overwrite").parquet(version_path(folder, batch_id + 1))
-    return step
-
-
 LAST = "record_id bigint, action string, last struct<ts: timestamp, event_id: bigint>"
 
 
@@ -64,12 +38,94 @@ def records_after(folder: str, records: DataFrame, parcels: DataFrame) -> DataFr
     return apply_actions(records, kept.select("record_id", "action", "last.ts", "last.event_id"), parcels)
 
 
-def start_telemetry(spark: SparkSession, folder: str) -> None:
-    start_state(spark).coalesce(1).write.mode("overwrite").parquet(version_path(folder, 0))
+#: What a language's state holds and what it gives out.
+TELEMETRY = "code string, accuracy bigint, processed bigint, corrections bigint, pending bigint"
+
+
+class LanguageFold(StatefulProcessor):
+    """The telemetry of one language in event time: verifications below the watermark are folded into one triple, those above
+    it are kept by time and id, since one that arrives later may still come before them."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.settled = handle.getValueState("settled", "accuracy bigint, processed bigint, corrections bigint")
+        self.pending = handle.getMapState("pending", "micros bigint, event_id bigint", "corrections bigint, copies bigint")
+        self.handle = handle
+
+    def _start(self, code: str) -> tuple[int, int, int]:
+        return tuple(self.settled.get()) if self.settled.exists() else ({c: a for c, _, a in dims.LANGUAGE_ACCURACY}[code], 0, 0)
+
+    def _waiting(self) -> list[tuple]:
+        return sorted((tuple(k), tuple(v)) for k, v in self.pending.iterator())
+
+    @staticmethod
+    def _fold(state: tuple[int, int, int], waiting: list[tuple]) -> tuple[int, int, int]:
+        accuracy, processed, corrections = state
+        for _, (c, copies) in waiting:
+            for _ in range(copies):
+                processed, corrections = processed + 1, corrections + c
+                accuracy = max(LOW, min(HIGH, accuracy + 5 * processed - 2 * corrections))
+        return accuracy, processed, corrections
+
+    def _report(self, code: str, waiting: list[tuple]) -> Row:
+        accuracy, processed, corrections = self._fold(self._start(code), waiting)
+        return Row(code=code, accuracy=accuracy, processed=processed, corrections=corrections, pending=len(waiting))
+
+    def handleInputRows(self, key, rows, timerValues):
+        for r in rows:
+            at = (r.micros, r.event_id)
+            copies = self.pending.getValue(at)[1] if self.pending.containsKey(at) else 0
+            self.pending.updateValue(at, (r.c, copies + 1))
+        waiting = self._waiting()
+        if waiting and not any(True for _ in self.handle.listTimers()):
+            self.handle.registerTimer(waiting[0][0][0] // 1000 + 1)
+        yield self._report(key[0], waiting)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = self._waiting()
+        past = [w for w in waiting if w[0][0] < mark]
+        self.settled.update(self._fold(self._start(key[0]), past))
+        for at, _ in past:
+            self.pending.removeKey(at)
+        if len(past) < len(waiting):
+            self.handle.registerTimer(max(waiting[len(past)][0][0] // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        yield self._report(key[0], waiting[len(past):])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_language_telemetry(stream: DataFrame, folder: str, checkpoint: str, delay: str = "30 days"):
+    """Language accuracy in the order of event time, whatever the order of files and batches.
+
+    A verification may arrive up to `delay` after the newest one; what is later is left out, as a watermark does. State is keyed
+    by language and lies in RocksDB: one triple for all that is settled, and the verifications of the last `delay`, so it
+    doesn't grow with the log. Rows with equal time and id must be equal. Every batch writes the languages it changed to its
+    own part of `folder`, so a batch that runs again changes nothing. Gives the query writer; `telemetry_after` reads the outcome.
+    """
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.createDataFrame([], TELEMETRY).write.mode("overwrite").parquet(f"{folder}/batch=-1")
+    events = stream.select(known_language().alias("code"), "ts", F.unix_micros("ts").alias("micros"), "event_id",
+                           F.coalesce("corrections", F.lit(0)).cast("bigint").alias("c"))
+    states = events.withWatermark("ts", delay).groupBy("code").transformWithState(
+        LanguageFold(), outputStructType=TELEMETRY, outputMode="Update", timeMode="EventTime")
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+    return states.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint)
+
 
+def telemetry_after(spark: SparkSession, folder: str) -> DataFrame:
+    """The languages' state after the newest batch of `stream_language_telemetry`; a language without events is as at the start.
 
-def stream_language_telemetry(stream: DataFrame, folder: str, checkpoint: str):
-    """Language accuracy carried over the batches. The state is one small row per language; the rows of a batch are
-    folded in parallel chunks, so a language that holds most of the events is not one task's work."""
-    step = versioned(folder, lambda state, batch: language_telemetry(batch, state))
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    Columns: code, language, accuracy (hundredths), processed, corrections, pending (verifications not yet settled).
+    """
+    kept = spark.read.schema(f"{TELEMETRY}, batch bigint").parquet(folder)
+    order = F.struct("batch", "processed", -F.col("pending"))
+    last = kept.groupBy("code").agg(F.max_by(F.struct("accuracy", "processed", "corrections", "pending"), order).alias("s"))
+    start = start_state(spark).select("code", "language", F.col("accuracy").alias("start"))
+    return start.join(last, "code", "left").select(
+        "code", "language", F.coalesce("s.accuracy", "start").alias("accuracy"),
+        *[F.coalesce(f"s.{c}", F.lit(0)).alias(c) for c in ("processed", "corrections", "pending")])
