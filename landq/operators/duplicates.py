@@ -38,9 +38,11 @@ def same_file(documents: DataFrame) -> DataFrame:
 
 
 def same_registration(incoming: DataFrame, registry: DataFrame) -> DataFrame:
-    hits = first_containing(incoming, registry, F.lower(not_blank("registration_number")), "district", ["owner_name", "status"])
+    hits = first_containing(incoming, registry, F.lower(not_blank("registration_number")), "district", ["owner_name", "status"],
+                            blank_finds_null=True)
+    holder, status = (F.coalesce(f"match.{c}", F.lit("None")) for c in ("owner_name", "status"))
     return _hit(hits, "REGISTRATION_DUPLICATE", 40, "REGISTRATION_NUMBER_COLLISION", F.col("match.id"),
-                F.concat(F.lit("Deed registered under owner '"), "match.owner_name", F.lit("' with status "), "match.status"))
+                F.concat(F.lit("Deed registered under owner '"), holder, F.lit("' with status "), status))
 
 
 def same_parcel(incoming: DataFrame, registry: DataFrame) -> DataFrame:

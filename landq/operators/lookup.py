@@ -39,16 +39,18 @@ def first_equal(incoming: DataFrame, registry: DataFrame, key: Column | str, pay
 
 
 def first_containing(incoming: DataFrame, registry: DataFrame, key: Column | str, text: str, payload: list[str] = (),
-                     small_group: int = SMALL_GROUP, own_id: str = "id") -> DataFrame:
+                     small_group: int = SMALL_GROUP, own_id: str = "id", blank_finds_null: bool = False) -> DataFrame:
     """Incoming rows with another registry row of the same key whose `text` contains the incoming `text`.
 
-    Case is ignored; `match` is the matching registry row with the lowest id. Both sides are first reduced to their
+    Case is ignored; `match` is the matching registry row with the lowest id. A NULL text contains nothing, or with
+    `blank_finds_null` the blank incoming text, which then asks for the key alone. Both sides are first reduced to their
     distinct (key, text), so copies cost nothing. Keys with few distinct registry texts compare directly. For the
     others every registry text is cut into the pieces that have the length of some incoming text of that key, and
     pieces meet incoming texts by an equi join: the work grows with the texts, not with their pairs.
     """
     key = F.col(key) if isinstance(key, str) else key
-    hay_rows = registry.select(key.alias("k"), F.lower(text).alias("hay"), F.struct("id", *payload).alias("entry"))
+    hay = F.coalesce(F.col(text), F.lit("")) if blank_finds_null else F.col(text)
+    hay_rows = registry.select(key.alias("k"), F.lower(hay).alias("hay"), F.struct("id", *payload).alias("entry"))
     hays = lowest_two(hay_rows.where("k is not null and hay is not null"), ["k", "hay"], "entry")
     keyed = incoming.withColumn("k", key).withColumn("needle", F.lower(F.trim(F.coalesce(F.col(text), F.lit("")))))
     needles = keyed.where("k is not null").select("k", "needle").distinct()

@@ -1,8 +1,8 @@
 """Which items have a similar partner: near-equal texts and near-equal image hashes, exactly and without caps.
 
 Both problems reduce to "items that share a key may be similar; verify". Only whether a partner exists is wanted, so
-the pairs inside a group are never all formed: in each round every item of a key meets one lead item of that key,
-which settles groups of near copies in linear work. What is still open after the rounds meets all items of its keys.
+the items of an overfull key meet one lead of it, which settles groups of near copies; if some stay open, the key is
+lengthened until its keys are small enough for all their items to meet.
 """
 
 from __future__ import annotations
@@ -19,45 +19,45 @@ from landq.session import checkpointed
 Test = Callable[[str, str], Column]
 
 
-def partnered(items: DataFrame, keys: Column, light: list[str], fits: Test, heavy: DataFrame | None = None,
-              verify: Test | None = None, rounds: int = 4) -> DataFrame:
-    """Ids (`gid`) of the items that have a similar item.
+#: Items of a key that all meet, and how often an overfull key is lengthened; at the last length all meet whatever their number.
+FULL, LENGTHS = 64, 6
 
-    `keys` gives the array of struct(key, pos) of an item. `light` columns and `pos` travel with the keys and `fits`
-    tests a pair that shares a key on them.
-    The columns of `heavy` (with `gid`) are fetched for the surviving pairs only and `verify` decides. Both tests get
-    the prefixes of the two sides.
-    """
-    postings = checkpointed(items.select("gid", *light, F.inline(keys)))
-    light = [*light, "pos"]
 
-    def side(df: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
-        return df.select(*[F.col(c).alias(prefix + c) for c in columns])
+def partnered(postings: DataFrame, light: list[str], fits: Callable[[str, str, int], Column], lengthen: Callable[[DataFrame, int], DataFrame],
+              heavy: DataFrame | None = None, verify: Test | None = None, full: int = FULL, lengths: int = LENGTHS) -> DataFrame:
+    """Ids (`gid`) of the items that have a similar item.
 
-    def decide(pairs: DataFrame) -> DataFrame:
-        """Ids on either side of a similar pair."""
-        kept = pairs.where(fits("a_", "b_")).select("a_gid", "b_gid").distinct() if verify else pairs.where(fits("a_", "b_"))
+    `postings` has gid, key and the `light` columns. `fits` tests a pair that shares a key on those, given the prefixes of
+    the two sides and the length of the key (from 1 on). The columns of `heavy` (with `gid`) are fetched for the surviving
+    pairs only, and `verify` decides. `lengthen` gives postings with longer keys for those of overfull keys: a similar pair
+    that shares a key must share a longer one, too.
+    """
+    def side(df: DataFrame, prefix: str, *more: str) -> DataFrame:
+        return df.select(*[F.col(c).alias(prefix + c) for c in ["gid", *light]], *more)
+
+    settled = None
+    for level in range(1, lengths + 1):
+        postings = checkpointed(postings.select("gid", "key", *light))
+        keys = postings.groupBy("key").agg(F.count("*").alias("n"), F.min_by(F.struct("gid", *light), "gid").alias("lead")).where("n > 1")
+        keys = checkpointed(keys.withColumn("all", (F.col("n") <= full) | F.lit(level == lengths)))
+        members = postings.join(keys.select("key", "all"), "key")
+        few, many = members.where("all"), members.where("not all")
+        leads = keys.where("not all").select("key", F.col("lead.gid").alias("a_gid"), *[F.col(f"lead.{c}").alias(f"a_{c}") for c in light])
+        pairs = side(few, "a_", "key").join(side(few, "b_", "key"), "key").where("a_gid < b_gid").unionByName(
+            leads.join(side(many, "b_", "key"), "key").where("a_gid <> b_gid"))
+        pairs = pairs.where(fits("a_", "b_", level))
         if verify:
+            pairs = pairs.select("a_gid", "b_gid").distinct()
             for prefix in ("a_", "b_"):
-                kept = kept.join(side(heavy, prefix, heavy.columns), f"{prefix}gid")
-            kept = kept.where(verify("a_", "b_"))
-        return kept.select(F.explode(F.array("a_gid", "b_gid")).alias("gid")).distinct()
-
-    member = ["gid", *light, "key"]
-    settled, open_ = None, postings
-    for _ in range(rounds):
-        lead = open_.groupBy("key").agg(F.min_by(F.struct("gid", *light), "gid").alias("lead"), F.count("*").alias("n"))
-        lead = lead.where("n > 1").select("key", F.col("lead.gid").alias("a_gid"), *[F.col(f"lead.{c}").alias(f"a_{c}") for c in light])
-        pairs = side(open_, "b_", member).withColumnRenamed("b_key", "key").join(lead, "key").where("a_gid <> b_gid")
-        found = checkpointed(decide(pairs))
-        settled = found if settled is None else settled.unionByName(found)
-        if found.isEmpty():
-            break
-        open_ = open_.join(found, "gid", "left_anti")
-    rest = side(open_, "a_", member).withColumnRenamed("a_key", "key")
-    others = side(postings, "b_", member).withColumnRenamed("b_key", "key")
-    final = decide(rest.join(others, "key").where("a_gid <> b_gid"))
-    return settled.unionByName(final).distinct()
+                pairs = pairs.join(heavy.select(*[F.col(c).alias(prefix + c) for c in heavy.columns]), f"{prefix}gid")
+            pairs = pairs.where(verify("a_", "b_"))
+        found = pairs.select(F.explode(F.array("a_gid", "b_gid")).alias("gid")).distinct()
+        settled = checkpointed(found if settled is None else settled.unionByName(found).distinct())
+        if level == lengths or keys.where("not all").isEmpty():
+            return settled
+        open_ = many.join(settled, "gid", "left_anti").select("key").distinct()
+        postings = lengthen(many.join(open_, "key", "left_semi"), level)
+    return settled
 
 
 def grouped_copies(documents: DataFrame, signature: Column, payload: list[str]) -> DataFrame:
@@ -79,56 +79,63 @@ def different_owner(a: str, b: str) -> Column:
 
 def _documents_with_partner(documents: DataFrame, groups: DataFrame, signature: Column, partners: DataFrame) -> DataFrame:
     hit = groups.join(partners.withColumn("near", F.lit(True)), "gid", "left").where("shared or near").select("signature")
-    return documents.withColumn("signature", signature).join(hit, "signature", "left_semi").drop("signature")
+    return documents.withColumn("signature", signature).join(hit, "signature", "left_semi").select("doc_id", "land_record_id")
 
 
 def word_set(column: str) -> Column:
-    return F.sort_array(F.array_distinct(F.array_remove(F.split(F.lower(F.trim(column)), r"\s+"), "")))
+    """Hashes of the different words of a text, ascending."""
+    words = F.array_remove(F.split(F.lower(F.trim(column)), r"\s+"), "")
+    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
 def similar_texts(documents: DataFrame, text: str = "ocr_raw_text", threshold: float = 0.85, min_chars: int = 50,
-                  common_word: int = 1000) -> DataFrame:
+                  full: int = FULL) -> DataFrame:
     """Documents (doc_id, land_record_id) whose word set has a Jaccard similarity above the threshold with another's.
 
     Equal word sets are grouped first. Prefix filtering gives the keys: with words ordered from rare to common, two
-    similar sets share a word among the first n - ceil(t n) + 1. A word held by more than `common_word` sets is a
-    weak key; there the key is that word together with each later word of the prefix made one longer, which similar
-    sets must share as well.
+    similar sets share a word among the first n - ceil(t n) + 1, and d words among the first n - ceil(t n) + d. So a key of
+    the first d words that two sets share is a key of both; keys with more than `full` sets get a word more.
     """
     usable = documents.where(F.length(F.trim(text)) > min_chars).select("doc_id", "land_record_id", word_set(text).alias("words"))
-    usable = usable.where(F.size("words") > 0)
-    signature = F.sha2(F.array_join("words", " "), 256)
+    usable = checkpointed(usable.where(F.size("words") > 0).withColumn("code", F.concat_ws(
+        ":", F.xxhash64("words"), F.xxhash64(F.lit(1), "words"))))
+    signature = F.col("code")
     groups = checkpointed(grouped_copies(usable, signature, ["words"]))
     words = groups.select("gid", F.explode("words").alias("word"))
     held = words.groupBy("word").agg(F.count("*").alias("df"))
-    ranked = words.join(held, "word").groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("ranked"))
+    ranked = words.join(held, "word").groupBy("gid").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("df", "word"))), lambda w: w["word"]).alias("ranked"))
+    items = checkpointed(groups.select("gid", "only", F.size("words").alias("n")).join(ranked, "gid"))
     size = F.size("ranked")
-    first = (size - F.ceil(size * F.lit(threshold)) + 1).cast("int")
-    head = F.slice("ranked", F.lit(1), first)
-    longer = F.slice("ranked", F.lit(1), first + 1)
-    keys = F.flatten(F.transform(head, lambda w, i: F.when(
-        w["df"] <= common_word, F.array(F.struct(w["word"].alias("key"), i.alias("pos")))).otherwise(
-        F.transform(F.slice(longer, i + 2, size), lambda later: F.struct(
-            F.concat(w["word"], F.lit(" "), later["word"]).alias("key"), i.alias("pos"))))))
-    items = groups.join(ranked, "gid").withColumn("n", F.size("words"))
-
-    def fits(a: str, b: str) -> Column:
-        """Sizes are close enough, and enough words follow the shared one on both sides.
-
-        The first shared word of a similar pair passes: all its shared words are that one or come later.
+
+    def last(length: int) -> Column:
+        """Words of the prefix in which similar sets share `length` words at least."""
+        return F.least(size, size - F.ceil(size * F.lit(threshold)).cast("int") + length)
+
+    def lengthen(some: DataFrame, length: int) -> DataFrame:
+        longer = some.join(items.select("gid", "ranked"), "gid").withColumn("old", F.col("pos"))
+        return longer.select("gid", "key", "n", "only", "old", F.posexplode(F.slice("ranked", F.lit(1), last(length + 1))).alias("pos", "word")).where(
+            "pos > old").select("gid", F.xxhash64("key", "word").alias("key"), "n", "only", "pos")
+
+    first = items.select("gid", "n", "only", F.posexplode(F.slice("ranked", F.lit(1), last(1))).alias("pos", "key"))
+
+    def fits(a: str, b: str, length: int) -> Column:
+        """Sizes are close enough, and enough words follow the last shared one of the key on both sides.
+
+        The key of a similar pair's first shared words passes: all others come later.
         """
         small, large = F.least(f"{a}n", f"{b}n"), F.greatest(f"{a}n", f"{b}n")
-        left = F.least(F.col(f"{a}n") - F.col(f"{a}pos"), F.col(f"{b}n") - F.col(f"{b}pos"))
+        left = F.least(F.col(f"{a}n") - F.col(f"{a}pos"), F.col(f"{b}n") - F.col(f"{b}pos")) + (length - 1)
         needed = F.lit(threshold / (1 + threshold)) * (F.col(f"{a}n") + F.col(f"{b}n"))
         return (small > F.lit(threshold) * large) & (left + 1e-6 >= needed) & different_owner(a, b)
 
     def verify(a: str, b: str) -> Column:
-        common = F.size(F.array_intersect(f"{a}words", f"{b}words"))
-        union = F.size(f"{a}words") + F.size(f"{b}words") - common
+        common = F.size(F.array_intersect(f"{a}ranked", f"{b}ranked"))
+        union = F.size(f"{a}ranked") + F.size(f"{b}ranked") - common
         return common / union > threshold
 
-    partners = partnered(items, keys, ["n", "only"], fits, groups.select("gid", "words"), verify)
-    return _documents_with_partner(usable, groups, signature, partners).select("doc_id", "land_record_id")
+    partners = partnered(first, ["n", "only", "pos"], fits, lengthen, items.select("gid", "ranked"), verify, full)
+    return _documents_with_partner(usable, groups, signature, partners)
 
 
 def band_keys(bands: int, spare: int) -> Column:
@@ -143,31 +150,41 @@ def band_keys(bands: int, spare: int) -> Column:
             if a < b:
                 parts.append(F.shiftright(half, base + 32 - b).bitwiseAND(F.lit((1 << (b - a)) - 1)).cast("string"))
         return F.concat_ws(".", *parts)
-    return F.array(*[F.struct(F.concat_ws("|", F.lit(",".join(map(str, chosen))), *[band(i) for i in chosen]).alias("key"),
-                              F.lit(0).alias("pos")) for chosen in combinations(range(bands), bands - spare)])
+    return F.array(*[F.struct(F.xxhash64(F.lit(",".join(map(str, chosen))), *[band(i) for i in chosen]).alias("key")) for chosen in combinations(range(bands), bands - spare)])
 
 
-def bands_for(rows: int) -> int:
+def bands_for(rows: int, distance: int = 6) -> int:
     """Bands whose keys are about as many bits long as rows need to be told apart."""
     need = max(8.0, math.log2(max(rows, 2)) - 4)
-    return next(b for b in range(8, 17) if 64 * (b - 6) / b >= need)
+    return next(b for b in range(distance + 2, distance + 11) if 64 * (b - distance) / b >= need or b == distance + 10)
 
 
-def similar_hashes(hashes: DataFrame, distance: int = 6, bands: int = 8) -> DataFrame:
+def similar_hashes(hashes: DataFrame, distance: int = 6, bands: int | None = None, full: int = FULL) -> DataFrame:
     """Documents (doc_id, land_record_id) whose 64-bit hash is within `distance` bits of another document's.
 
     Hashes come as two 32-bit halves. Equal hashes are grouped first. Of `bands` bands at most `distance` can differ,
-    so similar hashes agree on some bands - distance of them. Take more bands for larger tables (`bands_for`).
+    so similar hashes agree on some bands - distance of them; the number of bands follows the number of hashes. A key with
+    more than `full` hashes gets further bits: of distance + 1 parts of the bits, dealt anew at each length, similar hashes
+    agree on one at least.
     """
     signature = F.concat_ws(":", "hi", "lo")
     groups = checkpointed(grouped_copies(hashes, signature, ["hi", "lo"]))
+    first = groups.select("gid", "hi", "lo", "only", F.inline(band_keys(bands or bands_for(groups.count(), distance), distance)))
+
+    def lengthen(some: DataFrame, length: int) -> DataFrame:
+        step = (5, 11, 13, 17, 19, 23)[length % 6]
+        parts = [[bit for bit in range(64) if (bit * step % 64) * (distance + 1) // 64 == i] for i in range(distance + 1)]
+        masks = [(sum(1 << b - 32 for b in p if b >= 32), sum(1 << b for b in p if b < 32)) for p in parts]
+        keys = F.array(*[F.xxhash64("key", F.lit(i), F.col("hi").bitwiseAND(F.lit(h)), F.col("lo").bitwiseAND(F.lit(m)))
+                         for i, (h, m) in enumerate(masks)])
+        return some.select("gid", "hi", "lo", "only", F.explode(keys).alias("key"))
 
-    def fits(a: str, b: str) -> Column:
+    def fits(a: str, b: str, _: int) -> Column:
         bits = F.bit_count(F.col(f"{a}hi").bitwiseXOR(F.col(f"{b}hi"))) + F.bit_count(F.col(f"{a}lo").bitwiseXOR(F.col(f"{b}lo")))
         return (bits <= distance) & different_owner(a, b)
 
-    partners = partnered(groups, band_keys(bands, distance), ["hi", "lo", "only"], fits)
-    return _documents_with_partner(hashes, groups, signature, partners).select("doc_id", "land_record_id")
+    partners = partnered(first, ["hi", "lo", "only"], fits, lengthen, full=full)
+    return _documents_with_partner(hashes, groups, signature, partners)
 
 
 def hash_halves(hex_hash: str) -> list[Column]:
