@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from landq.functions.distance import edit_distance
+
 STATUTORY_FIELDS = ["survey_number", "owner_name", "land_area", "registration_number"]
-FIRST_CODE = 0x10000
 
 
 def _rate(distance: Column, length: Column, hypothesis_empty: Column) -> Column:
@@ -15,7 +16,7 @@ def _rate(distance: Column, length: Column, hypothesis_empty: Column) -> Column:
 
 def character_error_rate(reference: str, hypothesis: str) -> Column:
     ref, hyp = F.trim(reference), F.trim(hypothesis)
-    return _rate(F.levenshtein(ref, hyp), F.length(ref), hyp == "")
+    return _rate(edit_distance(ref, hyp), F.length(ref), hyp == "")
 
 
 def _words(column: str) -> Column:
@@ -23,17 +24,9 @@ def _words(column: str) -> Column:
 
 
 def word_error_rate(reference: str, hypothesis: str) -> Column:
-    """Edit distance of words. Each distinct word of a pair becomes one character, so the built-in distance applies."""
-    def rate(pair: Column) -> Column:
-        vocabulary = F.array_distinct(F.concat(pair["ref"], pair["hyp"]))
-
-        def coded(words: Column) -> Column:
-            return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(
-                F.hex(F.array_position(vocabulary, w) + FIRST_CODE), 8, "0")), "UTF-32")), "")
-        distance = F.when(pair["ref"] == pair["hyp"], 0).otherwise(F.levenshtein(coded(pair["ref"]), coded(pair["hyp"])))
-        return _rate(distance, F.size(pair["ref"]), F.size(pair["hyp"]) == 0)
-    pair = F.array(F.struct(_words(reference).alias("ref"), _words(hypothesis).alias("hyp")))
-    return F.get(F.transform(pair, rate), F.lit(0))
+    """Edit distance of the words, in percent of the reference's words."""
+    ref, hyp = _words(reference), _words(hypothesis)
+    return _rate(edit_distance(ref, hyp), F.size(ref), F.size(hyp) == 0)
 
 
 def exact_average(column: str) -> Column:

@@ -79,12 +79,12 @@ for _name, (_key, _views, _plan) in VECTORS.items():
         lambda v, plan=_plan: plan(v).select(*SHOWN))
 
 
-def _all_hits(v):
+def all_hits(v):
     return [duplicates.same_file(_files(v)), *duplicates.record_vectors(v.lr, v.lr), duplicates.similar_text(_files(v)),
             duplicates.similar_image(_images(v)), duplicates.low_confidence(_scores(v))]
 
 
-def _risk_sql(vectors: list[str], base: str = "lr") -> str:
+def risk_sql(vectors: list[str], base: str = "lr") -> str:
     return f"""hits as ({' union all '.join(f'select * from ({VECTOR_SQL[k]})' for k in vectors)}),
    per as (select id, sum(score) as total, count(conflict) as conflicts_count, string_agg(vector, ',' order by vector) as vectors from hits group by 1),
    risk as (select b.id, least(100, coalesce(total, 0))::int as risk_score, coalesce(conflicts_count, 0) as conflicts_count, coalesce(vectors, '') as vectors
@@ -100,20 +100,19 @@ def _flat(risk):
     return risk.withColumn("vectors", F.coalesce(names, F.lit(""))).drop("conflicts", "risk_breakdown")
 
 
-@q("DU10_risk_score", f"with {_risk_sql(list(VECTOR_SQL))} select {RISK_COLUMNS} from risk", "lr", "ph")
+@q("DU10_risk_score", f"with {risk_sql(list(VECTOR_SQL))} select {RISK_COLUMNS} from risk", "lr", "ph")
 def _(v):
-    return _flat(duplicates.risk_score(v.lr, _all_hits(v)))
+    return _flat(duplicates.risk_score(v.lr, all_hits(v)))
 
 
-@q("DU10_risk_by_district", f"""with {_risk_sql(['file', 'registration', 'parcel', 'owner', 'khasra', 'registration_owner', 'confidence'])},
+@q("DU10_risk_by_district", f"""with {risk_sql(list(VECTOR_SQL))},
    f as (select lr.*, cadastral_area, count(*) over (partition by registration_number) as n from lr left join cad on cad.survey_number = lr.survey_number),
    bad as (select id, coalesce(land_area, 0) = 0 or n > 1 or confidence_score < 60 as failed from f)
    select district, count(*) as records, count(*) filter (risk_score >= 40) as duplicates, count(*) filter (risk_score > 80) as critical,
      round(avg(risk_score), 2) as average_risk, count(*) filter (failed) as failed_validation
-   from lr join risk on risk.id = lr.id join bad on bad.id = lr.id group by district""", "lr", "cad")
+   from lr join risk on risk.id = lr.id join bad on bad.id = lr.id group by district""", "lr", "cad", "ph")
 def _(v):
-    hits = [duplicates.same_file(_files(v)), *duplicates.record_vectors(v.lr, v.lr), duplicates.low_confidence(_scores(v))]
-    risk = duplicates.risk_score(v.lr, hits).select("id", "risk_score")
+    risk = duplicates.risk_score(v.lr, all_hits(v)).select("id", "risk_score")
     checks = rules.summarize_a(rules.evaluate_a(v.lr, v.cad, v.lr, "2026-01-01", rules.STATUS)).select("id", "has_errors")
     joined = v.lr.select("id", "district").join(risk, "id").join(checks, "id")
     return joined.groupBy("district").agg(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from landq import dims
 from landq.operators import joins, rules
+from landq.plans.rules import AS_OF, FACTS, LONG_A
 from landq.plans.suite import Suite
 
 suite = Suite()
@@ -97,13 +98,13 @@ def _(v):
         "id", "owner_name", "cadastral_area", "mismatch_detected", "documents", "first_document", "fields", "errors")
 
 
-@q("JN06_record_dossier_items", """
+@q("JN06_record_dossier_items", f"""
+   with {FACTS}, {LONG_A}
    select id, 'document' as section, cast(doc_id as varchar) as item, document_type as value from deed
    union all select land_record_id, 'field', field_name, coalesce(corrected_value, extracted_value) from fields
-   union all select id, 'validation', 'RULE-03', case when land_area between 0.01 and 5000 then 'PASS' else 'ERROR' end from lr""",
-   "deed", "fields")
+   union all select id, 'validation', rule_id, status from long""", "deed", "fields", "lr", "cad")
 def _(v):
-    results = rules.long_form(v.lr.withColumn("results", F.array(rules.area_bounds())))
+    results = rules.long_form(rules.evaluate_a(v.lr, v.cad, v.lr, AS_OF, rules.STATUS))
     return joins.dossier_items(v.deed, v.fields, results)
 
 

@@ -291,13 +291,14 @@ def _(v):
 
 
 @q("TX26_ocr_rollup", """
-   with l as (select * from ocr_lines where doc_id % 13 <> 0)
+   with d as (select doc_id from deed union all select -1 - doc_id from deed where doc_id % 13 = 0)
    select d.doc_id, coalesce(string_agg(l.text, chr(10) order by line_no), '') as text,
      coalesce(round(sum(round(confidence * 100, 1)) / count(l.text), 1), 35.0::double) as confidence, count(l.text) as line_count,
      case when count(l.text) > 0 then 'English' else 'Unknown' end as language, count(l.text) = 0 as requires_manual_review
-   from deed d left join l on l.doc_id = d.doc_id group by d.doc_id""", "deed", "ocr_lines")
+   from d left join ocr_lines l on l.doc_id = d.doc_id group by d.doc_id""", "deed", "ocr_lines")
 def _(v):
-    return layout.ocr_rollup(v.ocr_lines.where("doc_id % 13 <> 0"), v.deed)
+    blank = v.deed.where("doc_id % 13 = 0").selectExpr("-1 - doc_id as doc_id")  # documents in which nothing was read
+    return layout.ocr_rollup(v.ocr_lines, v.deed.select("doc_id").unionByName(blank))
 
 
 NAMES = ["owner_name", "witness_information", "land_area", "north_boundary", "stamp_duty", "mandal_tehsil_taluk", "order_date", "survey_number", "Seller_Address", "misc_note", "state", "sro"]

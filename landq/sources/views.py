@@ -179,11 +179,11 @@ STATE_SOURCE = {
     "default_area_unit": "case when r_regionkey % 3 = 1 then 'Bigha' end",
     "language_code": "case when r_regionkey = 4 then 'hi' end",
 }
-EVAL_LINE = "split_part(ocr_raw_text, chr(10), 2)"
+EVAL_TRUTH = "ocr_raw_text"
 EVAL_HYPOTHESIS = (
-    f"case when id % 3 = 0 then translate(case when id % 5 = 0 then regexp_replace({EVAL_LINE}, ' [^ ]+$', '') "
-    f"else {EVAL_LINE} end, '0O1l', 'O0l1') when id % 5 = 0 then regexp_replace({EVAL_LINE}, ' [^ ]+$', '') "
-    f"else {EVAL_LINE} end"
+    f"case when id % 3 = 0 then translate(case when id % 5 = 0 then regexp_replace({EVAL_TRUTH}, ' [^ ]+$', '') "
+    f"else {EVAL_TRUTH} end, '0O1l', 'O0l1') when id % 5 = 0 then regexp_replace({EVAL_TRUTH}, ' [^ ]+$', '') "
+    f"else {EVAL_TRUTH} end"
 )
 
 
@@ -230,7 +230,7 @@ VIEW_SQL: dict[str, tuple[list[str], str]] = {
         from deed d, unnest(range(1, len(string_split(d.ocr_raw_text, chr(10))) + 1)) as t(line_no)"""),
     "eval_pairs": (["deed"], f"""
         select id, case when id % 3 = 0 then 'Hindi' when id % 3 = 1 then 'English' else 'Telugu' end as language,
-               document_type, {EVAL_LINE} as truth, {EVAL_HYPOTHESIS} as hypothesis from deed"""),
+               document_type, {EVAL_TRUTH} as truth, {EVAL_HYPOTHESIS} as hypothesis from deed"""),
     "ph0": ([], f"select vec_id, {_bits(0)} as hi, {_bits(32)} as lo from embeddings"),
     "ph": (["ph0"], """
         select v.vec_id, case when p.vec_id is null then v.hi else xor(p.hi, 5::bigint) end as hi,
@@ -379,7 +379,7 @@ class Views:
     def eval_pairs(self) -> DataFrame:
         return self.deed.selectExpr(
             "id", "case when id % 3 = 0 then 'Hindi' when id % 3 = 1 then 'English' else 'Telugu' end as language",
-            "document_type", f"{EVAL_LINE} as truth", f"{EVAL_HYPOTHESIS} as hypothesis")
+            "document_type", f"{EVAL_TRUTH} as truth", f"{EVAL_HYPOTHESIS} as hypothesis")
 
     @cached_property
     def ph(self) -> DataFrame:

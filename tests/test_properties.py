@@ -1,12 +1,17 @@
 """Algorithms against brute force on small fixtures, with hot keys and groups of copies planted."""
 
+import datetime
 import random
+import time
 from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from landq import schemas
+from landq.functions.distance import distance
 from landq.operators import crossdoc, duplicates, filters, lookup, similarity, telemetry, workflow
 from landq.sources.views import Views
+from landq.streaming import review
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -40,11 +45,51 @@ def test_similar_texts_equals_brute_force(spark):
     for (i, r1, a), (j, r2, b) in combinations(rows, 2):
         if len(a) > 50 and len(b) > 50 and r1 != r2 and jaccard(a, b) > 0.85:
             want |= {i, j}
-    for common in (1000, 3):
-        got = {r.doc_id for r in similarity.similar_texts(docs, common_word=common).collect()}
+    for full in (64, 3, 1):  # few keys to lengthen, and almost all
+        got = {r.doc_id for r in similarity.similar_texts(docs, full=full).collect()}
         assert got == want
 
 
+def test_one_word_in_all_texts_makes_few_pairs(spark):
+    """Texts that differ but for one word never meet over it: their prefixes hold rarer words; keys of the rest get longer."""
+    rng = random.Random(9)
+    rows = [(i, None, "deed " + " ".join(f"w{rng.randrange(40)}x{j}" for j in range(12))) for i in range(4000)]
+    rows += [(4000 + i, None, rows[i][2] + " extra") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, land_record_id bigint, ocr_raw_text string")
+    words = {i: set(t.split()) for i, _, t in rows}
+    want = {k for i in range(30) for k in (i, 4000 + i)}
+    assert all(len(words[i] & words[4000 + i]) / len(words[4000 + i]) > 0.85 for i in range(30))
+    assert {r.doc_id for r in similarity.similar_texts(docs).collect()} == want
+
+
+def test_edit_distance():
+    rng = random.Random(1)
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(12))] for _ in "ab")
+        assert distance(a, b) == distance("".join(a), "".join(b)) == plain(a, b)
+    words = [f"w{rng.randrange(500)}" for _ in range(20_000)]
+    other = [w for w in words if rng.random() > 0.05]
+    begin = time.monotonic()
+    assert distance(words, other) == len(words) - len(other) and time.monotonic() - begin < 10
+
+
+def test_blank_district_finds_registry_rows_without_one(spark):
+    """The registration number alone is asked for where no district is given; a given district never meets a missing one."""
+    shape = "id bigint, registration_number string, district string, owner_name string, status string"
+    registry = spark.createDataFrame([(1, "R1", None, "A", "APPROVED"), (2, "R2", "Guna", None, "APPROVED"), (3, "R3", None, "C", None)], shape)
+    incoming = spark.createDataFrame([(11, "r1", "", "X", ""), (12, "R2", None, "X", ""), (13, "R3", "Guna", "X", ""), (14, "R2", "una", "X", "")], shape)
+    got = {r.id: (r.match_id, r.detail) for r in duplicates.same_registration(incoming, registry).collect()}
+    assert {i: m for i, (m, _) in got.items()} == {11: 1, 12: 2, 14: 2} and got[12][1] is not None
+
+
 def test_documents_of_one_record_do_not_count(spark):
     text = " ".join(f"w{i}" for i in range(30))
     docs = spark.createDataFrame([(1, 7, text), (2, 7, text + " x"), (3, None, "other " * 20), (4, None, "other " * 20)],
@@ -64,8 +109,12 @@ def test_similar_hashes_equals_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, land_record_id bigint, phash string")
     halves = df.select("doc_id", "land_record_id", *similarity.hash_halves("phash"))
     want = {k for (i, a), (j, b) in combinations(enumerate(values), 2) if (a ^ b).bit_count() <= 6 for k in (i, j)}
-    for bands in (8, 9):
-        assert {r.doc_id for r in similarity.similar_hashes(halves, bands=bands).collect()} == want
+    for bands, full in ((8, 64), (9, 64), (None, 4), (8, 1)):
+        assert {r.doc_id for r in similarity.similar_hashes(halves, bands=bands, full=full).collect()} == want
+
+
+def test_bands_follow_the_number_of_hashes():
+    assert [similarity.bands_for(n) for n in (100, 10 ** 6, 10 ** 9)] == [8, 8, 11]
 
 
 def test_first_containing_equals_brute_force(spark):
@@ -107,6 +156,32 @@ def test_telemetry_equals_a_loop(spark):
     assert again["hi"] == state["hi"] and again["en"] == state["en"]
 
 
+def verifications(spark, rows):
+    return spark.createDataFrame(rows, "event_id bigint, ts timestamp, language_code string, corrections bigint")
+
+
+def delivered(spark, parts, delay, folder):
+    """The telemetry after the parts came one by one, each to a query that was started anew."""
+    for part in parts:
+        verifications(spark, part).coalesce(1).write.mode("append").parquet(f"{folder}/events")
+        stream = review.read_events(spark, f"{folder}/events", schemas.VERIFICATION, 1)
+        review.stream_language_telemetry(stream, f"{folder}/state", f"{folder}/checkpoint", delay).trigger(availableNow=True).start().awaitTermination()
+    return {r.code: tuple(r)[2:] for r in review.telemetry_after(spark, f"{folder}/state").collect()}
+
+
+def test_stream_telemetry_follows_event_time(spark, tmp_path):
+    """Shuffled files, restarts and a settled state give what the whole log gives; values stay between the limits and at them."""
+    begin = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
+    rows = [(i, begin + datetime.timedelta(hours=i // 3), ("hi", "en", "te", "xx")[i % 4], 40 if i % 4 == 2 else 3 if i % 8 in (0, 1, 5) else 2) for i in range(600)]
+    want = {r.code: tuple(r)[2:] for r in telemetry.language_telemetry(verifications(spark, rows)).collect()}
+    assert [8000 < want[code][0] < 9940 for code in ("hi", "en", "te")] == [True, True, False]
+    mixed = [rows[i::4] for i in (2, 0, 3, 1)]
+    assert {k: v[:3] for k, v in delivered(spark, mixed, "400 days", tmp_path / "a").items()} == want
+    ordered = delivered(spark, [rows[i:i + 150] for i in range(0, 600, 150)], "1 day", tmp_path / "b")
+    assert {k: v[:3] for k, v in ordered.items()} == want
+    assert sum(v[3] for v in ordered.values()) < 200  # only what the watermark has not passed is kept
+
+
 def test_public_records_hold_nothing_else(spark):
     v = Views(spark, FOLDER)
     assert filters.public_records(v.lr, limit=None).where("status not in ('APPROVED', 'PUBLISHED', 'USER_VERIFIED') or not is_public").isEmpty()
@@ -121,8 +196,8 @@ def test_actions_twice_are_actions_once(spark):
 
 def test_same_number_and_other_owner_is_a_duplicate(spark):
     columns = "id bigint, registration_number string, survey_number string, khasra_number string, village string, district string, owner_name string, land_area double, status string"
-    registry = spark.createDataFrame([(1, "REG-2026/SRO/4481", "101/2B", "K1", "Rampur Kalan", "Bhopal", "Kailash", 3.2, "APPROVED")], columns)
-    incoming = spark.createDataFrame([(9, "reg-2026/sro/4481", "101/2B", None, "rampur", "Bhopal", "Different Purchaser", 3.2, "RECEIVED"),
+    registry = spark.createDataFrame([(1, "SAN-2025/0418", "57/2B", "K9", "Chandpura Khurd", "Indore", "Harish", 1.8, "APPROVED")], columns)
+    incoming = spark.createDataFrame([(9, "san-2025/0418", "57/2B", None, "chandpura", "Indore", "Gopal Rao", 1.8, "RECEIVED"),
                                       (10, "none", "1/1", None, "x", "y", "z", 1.0, "RECEIVED")], columns)
     got = {r.id: r for r in duplicates.risk_score(incoming, duplicates.record_vectors(incoming, registry)).collect()}
     assert got[9].risk_score == 70 and got[9].is_duplicate and got[9].risk_level == "HIGH" and got[9].requires_officer_review
@@ -166,16 +241,25 @@ def test_late_and_repeated_registrations(spark, tmp_path):
 
 
 def test_replayed_batch_changes_nothing(spark, tmp_path):
-    from landq.streaming import review
+    """A batch whose commit was lost runs again and overwrites its own part: actions and telemetry stay as they were."""
     v = Views(spark, FOLDER)
-    folder = str(tmp_path / "records")
-    v.lr.write.parquet(review.version_path(folder, 0))
-    step = review.versioned(folder, lambda records, batch: workflow.apply_actions(records, batch, v.cad))
-    step(v.actions, 0)
-    before = review.latest_before(spark, folder, 99).select("id", "status", "land_area").collect()
-    step(v.actions, 0)
-    after = review.latest_before(spark, folder, 99).select("id", "status", "land_area").collect()
-    assert sorted(before) == sorted(after)
+    folder = str(tmp_path)
+    v.actions.write.parquet(f"{folder}/actions")
+    v.verifications.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{folder}/events")
+
+    def run_all():
+        for name, schema, start in (("actions", schemas.ACTION, review.stream_apply_actions), ("events", schemas.VERIFICATION, review.stream_language_telemetry)):
+            stream = review.read_events(spark, f"{folder}/{name}", schema)
+            start(stream, f"{folder}/{name}-state", f"{folder}/{name}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+        records = review.records_after(f"{folder}/actions-state", v.lr, v.cad).select("id", "status", "land_area")
+        return sorted(map(str, records.collect())), sorted(map(str, review.telemetry_after(spark, f"{folder}/events-state").collect()))
+    before = run_all()
+    for name in ("actions", "events"):
+        commits = tmp_path / f"{name}-checkpoint" / "commits"
+        last = max(int(f.name) for f in commits.iterdir() if f.name.isdigit())
+        for lost in (commits / str(last), commits / f".{last}.crc"):
+            lost.unlink(missing_ok=True)
+    assert run_all() == before
 
 
 def test_read_json_records(spark, tmp_path):
