@@ -12,8 +12,11 @@ import string
 import struct
 from collections.abc import Callable
 
-#: Words kept by a worker; when full, the memo starts anew. Bounds memory, never the result.
-MEMO_WORDS = 1_300_000
+#: Bytes that the memo of a worker may take, with what an entry costs besides its characters and ids; when full, the memo starts
+#: anew. Longer words and tails are not kept. Bounds memory, never the result.
+MEMO_BYTES, ENTRY_BYTES, MEMO_LENGTH = 224 << 20, 190, 64
+#: Characters of the texts that are cut together.
+RUN = 1 << 20
 #: May follow letters in a word without joining their pretoken; the apostrophe may not.
 TAIL = string.punctuation.replace("'", "")
 
@@ -32,10 +35,24 @@ class Words(dict):
 class WordMemo:
     """`encode(texts) -> ids as little-endian unsigned 32-bit bytes`; `blanks` says whether a blank belongs to the word after it."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], blanks: bool, limit: int = MEMO_WORDS):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], blanks: bool, limit: int = MEMO_BYTES):
         self.encode, self.blanks, self.limit = encode, blanks, limit
-        self.words, self.once = Words(), {}
-        self.whole = functools.lru_cache(20_000)(lambda text: encode([text])[0])
+        self.words, self.once, self.size = Words(), {}, 0
+        self.short = functools.lru_cache(20_000)(self.plain)
+
+    def plain(self, text: str) -> bytes:
+        return self.encode([text])[0]
+
+    def whole(self, text: str) -> bytes:
+        """The ids of a piece, kept if it is short."""
+        return self.short(text) if len(text) <= MEMO_LENGTH else self.plain(text)
+
+    def keep(self, new: dict[str, bytes]) -> None:
+        """Into the memo; long words for this call only."""
+        for word in [w for w in new if len(w) > MEMO_LENGTH]:
+            self.once[word] = new.pop(word)
+        self.words.update(new)
+        self.size += ENTRY_BYTES * len(new) + sum(map(len, new)) + sum(map(len, new.values()))
 
     def _learn(self) -> None:
         """Ids of the missing words; words with a line break inside are known in `once`, for this call only."""
@@ -71,19 +88,29 @@ class WordMemo:
                 plan(head)
         todo = list(new)
         lead = " " if self.blanks else ""
-        words.update(zip(todo, self.encode([lead + w for w in todo]), strict=True))
-        for word, core, tail in cut:
-            words[word] = words[core] + self.whole(tail)
-        self.once = {word: words[head] + self.whole("\n") + self.whole(rest) for word, head, rest in broken}
+        self.keep(dict(zip(todo, self.encode([lead + w for w in todo]), strict=True)))
+        once, whole = self.once, self.whole
+        self.keep({word: (words[core] if core in words else once[core]) + whole(tail) for word, core, tail in cut})
+        once.update([(word, (words[head] if head in words else once[head]) + whole("\n") + whole(rest)) for word, head, rest in broken])
         words.missing.clear()
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
+        """The ids of each text. Texts are cut in runs of bounded size, so the pieces of a batch are never held at once."""
+        out, low, size = [], 0, 0
+        for high, text in enumerate(texts, 1):
+            size += len(text)
+            if size >= RUN or high == len(texts):
+                out += self._run(texts[low:high])
+                low, size = high, 0
+        return out
+
+    def _run(self, texts: list[str]) -> list[bytes]:
         words, blanks, blocks, out = self.words, self.blanks, [], []
-        if len(words) > self.limit:
+        if self.size > self.limit:
             words.clear()
+            self.size = 0
         for text in texts:
-            cut = text.split(" ")
+            cut = text.split(" ") if blanks else text.replace("\n", " ").split(" ")
             first = cut.pop(0) if blanks else ""
             blocks.append((text, first, cut, list(map(words.__getitem__, cut))))
         if words.missing:
