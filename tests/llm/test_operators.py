@@ -9,9 +9,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import public_tokenizers
+import regex
 from pyspark.sql import functions as F
 
-from landq.llm import bpe, components, lines, mtree, packing, pii, quality, setsketch, spotsigs, token_files, toxicity
+from landq.llm import bpe, components, lines, mtree, packing, pii, quality, setsketch, spotsigs, token_files, tokens, toxicity
 from landq.session import shared_folder
 
 FOLDER = "/root/testdata/sf0.001"
@@ -90,6 +91,16 @@ def test_token_files(spark, odd, none, bits):
     assert token_files.read_token_files(spark, path).count() == 0
 
 
+def test_token_memo_is_bounded():
+    """A memo of a few bytes, words above the length that is kept, and line feeds: the same ids as the library's."""
+    texts = ["alpha beta.\ngamma\ndelta, " + "long" * 40 + "! alpha", "beta " * 500 + "w" * 200 + "\n" + "w" * 200, "a\nb c\n\nd", " lead\n", "x" * 100 + "."]
+    for path, blanks in ((WORDS, False), (BYTES, True)):
+        encode, memo = encoder(path), tokens.WordMemo(tokens.library_memo(path, blanks).encode, blanks, limit=500)
+        for _ in range(3):
+            assert memo.ids(texts) == [packed(encode(t)) for t in texts]
+        assert all(len(w) <= tokens.MEMO_LENGTH for w in memo.words)
+
+
 def test_planes():
     for ids in ([0], [1, 70000, 5], list(range(300)), [2 ** 32 - 1, 0]):
         for bits in (False, True):
@@ -234,23 +245,61 @@ def test_line_join_in_large_buckets(spark):
     assert got == {i: int(r != i) for i, r in enumerate(root)}
 
 
-def test_spotsigs(spark, odd, none):
+def signatures(spark, texts):
+    """The signature set of each text by a plain walk over its words; only the hash itself is asked of Spark."""
+    common, found = set(spotsigs.ANCHORS), []
+    for t in texts:
+        words = regex.findall(r"[\p{L}\p{N}]+", t.lower())
+        chains = set()
+        for i, w in enumerate(words[:-1]):
+            if w in common and words[i + 1] not in common:
+                content = [x for x in words[i + 1:] if x not in common][:spotsigs.CHAIN]
+                chains |= {" ".join(content)} if len(content) == spotsigs.CHAIN else set()
+        found.append((chains, {" ".join(p) for p in zip(words, words[1:])}))
+    pieces = sorted({p for c, q in found for p in c | q} | set(texts))
+    code = {r.p: r.h for r in spark.createDataFrame([(p,) for p in pieces], "p string").select("p", F.hash("p").alias("h")).collect()}
+    sets = [{code[p] for p in c} | {code[p] for p in q if code[p] % spotsigs.PAIR_CLASSES == 0} for c, q in found]
+    return [s if s or not t else {code[t]} for s, t in zip(sets, texts)]
+
+
+def likeness(a, b):
+    if not a and not b:
+        return 1.0
+    return len(a & b) / len(a | b) if min(len(a), len(b)) >= spotsigs.LEAST * max(len(a), len(b)) else 0.0
+
+
+@pytest.mark.parametrize("rows", [ODD, [(i, " ".join(f"the w{(i // 2 * 7 + j * j) % 97} of x{j % 31} y{i // 2}" for j in range(10 + i % 9))) for i in range(40)]])
+def test_spotsigs(spark, rows):
     text = {}
-    for i, t in ODD:
+    for i, t in rows:
         if i is not None:
             text[i] = min(text.get(i, t or ""), t or "")
     ids = sorted(text)
-    got = {r.doc_id: r for r in spotsigs.fingerprint_edits(odd).collect()}
-    assert set(got) == {*ids, None}
-    for i, nxt in zip(ids, [*ids[1:], ids[0]]):
-        t, cut = text[i], len(text[i]) // 4
-        edited = t[:len(t) - cut] + text[nxt][:cut]
-        assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
-    assert got[4].near_next > 0.8 and got[4].fingerprint != got[5].fingerprint and got[1].fingerprint == got[2].fingerprint
-    long = BASE + ". " + " ".join(f"the word{i} of thing{i * 7}" for i in range(200))
-    pair = {r.doc_id: r for r in spotsigs.fingerprint_edits(docs_of(spark, [(1, long), (2, long), (3, "of the " * 900)])).collect()}
-    assert pair[1].fingerprint == pair[2].fingerprint and pair[1].near_next == 1 and pair[1].near_edited > 0.5 and pair[2].near_next == 0
+    nexts = [*ids[1:], ids[0]]
+    edited = [text[i][:len(text[i]) - len(text[i]) // 4] + text[n][:len(text[i]) // 4] for i, n in zip(ids, nexts)]
+    mine, changed = signatures(spark, [text[i] for i in ids]), signatures(spark, edited)
+    got = {r.doc_id: r for r in spotsigs.fingerprint_edits(docs_of(spark, rows)).collect()}
+    assert set(got) == {i for i, _ in rows}
+    for at, i in enumerate(ids):
+        r = got[i]
+        assert r.n_chars == len(text[i]) and r.edited_sha256 == hashlib.sha256(edited[at].encode()).hexdigest()
+        for print_, found in ((r.fingerprint, mine[at]), (r.edited_fingerprint, changed[at])):
+            size, _, codes = print_.partition(":")
+            assert codes == ".".join(f"{h & 0xFFFFFFFF:X}" for h in sorted(found))
+            assert int(size) == (len(found).bit_length() - 1 if found else -1)
+        assert r.near_edited == pytest.approx(likeness(mine[at], changed[at])) and r.near_next == pytest.approx(
+            likeness(mine[at], mine[(at + 1) % len(ids)]))
+
+
+def test_spotsigs_has_no_cliffs(spark, none):
+    """Near copies on both sides of any length, with and without common words, stay alike; long runs of one word end."""
+    tale = " ".join(f"the word{i} was near thing{i * 7 % 50} and house{i}" for i in range(400))
+    bare = " ".join(f"word{i} thing{i * 7 % 50}" for i in range(60))
+    rows = [(1, tale[:395]), (2, tale[:407]), (3, bare), (4, bare + " the end of it"), (5, "the " * 300_000), (6, "of " * 300_000), (7, "x" * 2_000_000),
+            (8, "x" * 2_000_000), (9, tale), (10, tale)]
+    got = {r.doc_id: r for r in spotsigs.fingerprint_edits(docs_of(spark, rows)).collect()}
+    assert min(got[i].near_next for i in (1, 3, 7, 9)) > 0.8 and got[7].fingerprint == got[8].fingerprint and got[9].near_next == 1
+    assert got[1].near_edited > 0.5 and got[9].near_edited > 0.5 and got[2].near_next == 0
     assert spotsigs.fingerprint_edits(none).count() == 0
 
 
