@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from landq.llm.common import small_batches, spool
 from landq.llm.components import components
 
-#: Most nodes of a shard, medoids that split a larger one, rows that look for their medoids together.
-SHARD, MEDOIDS, CELL = 2048, 1024, 4096
+#: Most nodes of a shard, medoids that split a larger one (few enough for the choice of them to limit rows ahead of the shuffle),
+#: rows that look for their medoids together.
+SHARD, MEDOIDS, CELL = 2048, 512, 4096
 #: Out-degree, candidates (near ones, and spread ones for long edges), and how much nearer a kept neighbour must be to drop one.
 DEGREE, NEAR, SPREAD, ALPHA = 24, 48, 16, 1.2
 #: Nodes with this cosine or more are expanded; medoids with it are searched besides the nearest ones.
@@ -36,12 +37,20 @@ def unit_vectors(rows: DataFrame) -> DataFrame:
     """
     x = F.transform("embedding", lambda c: c.cast("double"))
     good = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda c: c.isNull() | F.isnan(c) | (F.abs(c.cast("double")) == float("inf")))
-    top = F.array_max(F.transform("x", F.abs))
-    norm = F.sqrt(F.aggregate("y", F.lit(0.0), lambda a, c: a + c * c))
-    return (rows.filter(good & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("bigint").alias("vec_id"), x.alias("x"))
-            .groupBy("vec_id").agg(F.min("x").alias("x")).filter(top > 0)
-            .withColumn("top", top).withColumn("y", F.transform("x", lambda c: c / F.col("top"))).withColumn("norm", norm)
-            .select("vec_id", F.transform("y", lambda c: c / F.col("norm") + F.lit(0.0)).alias("unit")))
+    some = rows.filter(good & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("bigint").alias("vec_id"), x.alias("x")).filter(
+        F.exists("x", lambda c: c != 0))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            sizes, y = lists.value_lengths().to_numpy(zero_copy_only=False), stacked(pa.chunked_array([lists]))
+            y = y / np.abs(y).max(axis=1, initial=0)[:, None] if len(y) else y
+            y = y / np.sqrt((y * y).sum(axis=1))[:, None] + 0.0
+            flat = y[np.arange(y.shape[1]) < sizes[:, None]]
+            units = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), units], ["vec_id", "unit"])
+
+    return some.groupBy("vec_id").agg(F.min("x").alias("x")).mapInArrow(work, "vec_id bigint, unit array<double>")
 
 
 def stacked(column: pa.ChunkedArray) -> np.ndarray:
