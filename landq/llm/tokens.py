@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 #: Bytes that the memo of a worker may take, with what an entry costs besides its characters and ids; when full, the memo starts
 #: anew. Longer words and tails are not kept. Bounds memory, never the result.
-MEMO_BYTES, ENTRY_BYTES, MEMO_LENGTH = 224 << 20, 190, 64
+MEMO_BYTES, ENTRY_BYTES, MEMO_LENGTH = 160 << 20, 190, 64
 #: Characters of the texts that are cut together.
 RUN = 1 << 20
 #: May follow letters in a word without joining their pretoken; the apostrophe may not.
