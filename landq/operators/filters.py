@@ -72,13 +72,42 @@ def global_search(records: DataFrame, query: Column | str, include_internal: boo
     return df.where(F.exists(terms, lambda t: reduce(or_, [F.contains(F.lower(c), F.lower(t)) for c in columns])))
 
 
-def global_search_many(records: DataFrame, queries: list[str], include_internal: bool = False) -> DataFrame:
-    """Search for a list of queries in one pass over the records: one row per record and matching query."""
+#: Characters of a gram: a term of this length or more is looked up by one of its grams, a shorter one as a whole.
+GRAM = 3
+
+
+def grams(text: Column, size: Column) -> Column:
+    """The different substrings of `size` characters."""
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, size)))
+
+
+def global_search_many(records: DataFrame, queries: DataFrame | list[str], include_internal: bool = False,
+                       columns: list[str] = dims.SEARCH_COLUMNS) -> DataFrame:
+    """Search for all of `queries` (a frame with a column `query`, or a list) at once: the records, with `query`, one row per record id and matching query.
+
+    The different values of the searched columns are indexed by their grams. A term looks in the postings of its gram that
+    the fewest values hold, and the values found there are checked as a whole; so queries meet values by equi joins, and what
+    is shuffled grows with the values and the matches, not with queries times records. Repeated queries count once; null
+    and blank ones match nothing.
+    """
     df = records if include_internal else records.where(visible())
-    wanted = F.array(*[F.struct(F.lit(q).alias("query"), search_terms(F.lit(q)).alias("terms")) for q in queries])
-    text = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in dims.SEARCH_COLUMNS]
-    hits = F.filter(wanted, lambda w: F.exists(w["terms"], lambda t: reduce(or_, [F.contains(x, F.lower(t)) for x in text])))
-    return df.withColumn("hit", F.explode(hits)).withColumn("query", F.col("hit.query")).drop("hit")
+    if isinstance(queries, list):
+        queries = records.sparkSession.createDataFrame([(q,) for q in queries], "query string")
+    terms = queries.select("query").distinct().select("query", F.explode(search_terms(F.col("query"))).alias("term")).select(
+        "query", F.lower("term").alias("term"))
+    asked = terms.select("term").distinct().select("term", F.explode(
+        grams(F.col("term"), F.least(F.length("term"), F.lit(GRAM)))).alias("gram"))
+    held = df.select("id", F.explode(F.array_distinct(F.array(*[F.lower(c) for c in columns]))).alias("value")).where("value <> ''")
+    every = F.array_distinct(F.flatten(F.array(*[grams(F.col("value"), F.lit(n)) for n in range(1, GRAM + 1)])))
+    postings = held.select("value").distinct().select("value", F.explode(every).alias("gram")).join(
+        asked.select("gram").distinct(), "gram", "left_semi")
+    counts = postings.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = asked.join(counts, "gram", "left").groupBy("term").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("key")).where("key.n > 0").select("term", "key.gram")
+    found = postings.join(rarest, "gram").where(F.contains("value", "term")).select("value", "term")
+    hits = held.join(found, "value").join(terms, "term").select(F.col("id").alias("hit_id"), "query").distinct()
+    return df.join(hits, F.col("id") == F.col("hit_id")).drop("hit_id")
 
 
 def public_projection(records: DataFrame) -> DataFrame:

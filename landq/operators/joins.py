@@ -72,12 +72,20 @@ def parcels_with_status(parcels: DataFrame, records: DataFrame, default_status:
 
 
 def registration_status(asked: DataFrame, records: DataFrame, registrations: DataFrame) -> DataFrame:
-    """Per asked number: its public record, else its pending registration, else absent (case is ignored)."""
+    """Per asked number: its public record, else its pending registration, else absent (case is ignored).
+
+    Only rows of asked numbers reach the two aggregates: a semi join on the asked keys comes first. It is broadcast, or
+    preceded by a runtime filter, where the asked side turns out small; else it brings the exchange that the aggregate needs.
+    """
     columns = ["registration_number", "owner_name", "survey_number", "village", "district"]
-    public = records.where("is_public").groupBy(F.lower("registration_number").alias("k")).agg(
-        F.min_by(F.struct("id", *columns), "id").alias("pub"))
-    pending = registrations.groupBy(F.lower("registration_number").alias("k")).agg(
-        F.min_by(F.struct("id", "status", "source", "expected_public_date", *columns), "id").alias("pend"))
+    wanted = asked.select(F.lower("registration_number").alias("k")).distinct()
+
+    def first(rows: DataFrame, name: str, *more: str) -> DataFrame:
+        some = rows.withColumn("k", F.lower("registration_number")).join(wanted, "k", "left_semi")
+        return some.groupBy("k").agg(F.min_by(F.struct("id", *more, *columns), "id").alias(name))
+
+    public = first(records.where("is_public"), "pub")
+    pending = first(registrations, "pend", "status", "source", "expected_public_date")
     joined = (asked.withColumn("k", F.lower("registration_number")).withColumnRenamed("registration_number", "asked")
               .join(public, "k", "left").join(pending, "k", "left"))
     is_public = F.col("pub").isNotNull()

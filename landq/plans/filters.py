@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landq import dims
@@ -59,6 +62,19 @@ def _(v):
     return filters.global_search_many(v.lr, ["१२/४", "రమేష్", "kh-77"], include_internal=True).select("query", "id")
 
 
+ASKED_SQL = "select c_name as query from customer union all select n_name from nation union all select substr(r_name, 1, 2) from region"
+
+
+@q("PF04_global_search_frame", f"""
+   with held as (select distinct id, lower(v) as v from (select id, unnest([{', '.join(dims.SEARCH_COLUMNS)}]) as v from lr where {PUBLIC})),
+   hit as (select query, v from (select distinct query from ({ASKED_SQL})) join (select distinct v from held) on contains(v, lower(query)))
+   select distinct query, id from hit join held using (v)""", "lr")
+def _(v):
+    parts = [("customer", "c_name"), ("nation", "n_name"), ("region", "substr(r_name, 1, 2)")]
+    asked = reduce(DataFrame.unionAll, [v.table(t).selectExpr(f"{c} as query") for t, c in parts])
+    return filters.global_search_many(v.lr, asked).select("query", "id")
+
+
 @q("PF05_public_projection", f"""select id, owner_name, father_husband_name, survey_number, khasra_number, khata_number,
    plot_number, village, tehsil, district, state, land_area, land_classification, registration_number, registration_date,
    status, document_status, verification_status, cast(null as varchar) as last_verification_date,

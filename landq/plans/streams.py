@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from landq import schemas
 from landq.plans.reports import TELEMETRY_SQL
 from landq.plans.suite import Suite
 from landq.plans.workflow import DONE, MIXED
@@ -46,10 +47,37 @@ def _(v):
         "id", "registration_number", "has_mismatch", "mismatch_details")
 
 
-@q("ST02_stream_unique_registrations", "select distinct registration_number from reg", "reg")
+#: Three deliveries of registrations, by day of receipt: the first of all numbers, then copies of them in time, late, or after the
+#: watermark has passed the first one, and numbers that are only ever seen late.
+DELIVERIES = ["""select id, registration_number, 0 as delivery, cast(substr(registration_number, 5) as int) % 40 as day from reg""",
+              """select id, registration_number, 1, case (id div 4) % 3 when 0 then 30 when 1 then 35 else 45 end from reg""",
+              """select id, concat(registration_number, '-L'), 1, 20 + cast(substr(registration_number, 5) as int) % 13 from reg""",
+              """select id, registration_number, 2, case (id div 4) % 2 when 0 then 38 else 50 end from reg"""]
+RECEIVED = "timestamp '2024-01-01' + day * interval 1 day"
+DELAY_DAYS = 7
+WATERMARK = f"(select max(day) - {DELAY_DAYS} from incoming where delivery < %s)"
+
+
+@q("ST02_stream_unique_registrations", f"""with incoming as ({' union all '.join(DELIVERIES).replace(' div ', ' // ')}),
+   first0 as (select registration_number, min(day) as day from incoming where delivery = 0 group by 1),
+   first1 as (select registration_number, min(i.day) as day from incoming i where delivery = 1 and i.day > {WATERMARK % 1}
+     and not exists (select 1 from first0 f where f.registration_number = i.registration_number and f.day + {DELAY_DAYS} > {WATERMARK % 1}) group by 1),
+   first2 as (select registration_number, min(i.day) as day from incoming i where delivery = 2 and i.day > {WATERMARK % 2}
+     and not exists (select 1 from first1 f where f.registration_number = i.registration_number and f.day + {DELAY_DAYS} > {WATERMARK % 2})
+     and not exists (select 1 from first0 f where f.registration_number = i.registration_number and f.day + {DELAY_DAYS} > {WATERMARK % 2}) group by 1)
+   select registration_number, 0 as delivery from first0 union all select registration_number, 1 from first1
+   union all select registration_number, 2 from first2""", "reg")
 def _(v):
+    """Three deliveries in turn, each after a restart from the checkpoint, so the watermark of one judges the rows of the next."""
     folder = work_folder(v.spark)
-    return append(registrations.stream_unique_registrations(_incoming(v, folder), "4000 days"), folder, "unique").select("registration_number")
+    incoming = v.spark.sql(" union all ".join(DELIVERIES).replace("from reg", "from {reg}"), reg=v.reg).withColumn("received_at", F.expr(RECEIVED)).drop("day")
+    incoming.write.partitionBy("delivery").parquet(f"{folder}/all")
+    for turn in range(3):
+        part = v.spark.read.parquet(f"{folder}/all").where(F.col("delivery") == turn)
+        part.write.mode("append").parquet(f"{folder}/incoming")
+        stream = v.spark.readStream.schema(part.schema).parquet(f"{folder}/incoming")
+        out = append(registrations.stream_unique_registrations(stream, f"{DELAY_DAYS} days"), folder, "unique")
+    return out.select("registration_number", "delivery")
 
 
 @q("ST03_stream_apply_actions", f"""with d as ({DONE.replace(MIXED, 'action')}) select l.id, coalesce(new_status, l.status) as status, coalesce(new_is_public, l.is_public) as is_public,
@@ -65,9 +93,7 @@ def _(v):
 
 @q("ST04_stream_language_telemetry", TELEMETRY_SQL.replace("end as accuracy", "end / 100.0::double as accuracy"), "verifications")
 def _(v):
-    from landq import schemas
     """Three deliveries in turn, each after a restart; events come up to 16 hours late."""
-    from landq import schemas
     folder = work_folder(v.spark)
     arrival = F.unix_seconds(F.col("ts").cast("timestamp")) + F.col("event_id") % 3 * 8 * 3600
     low, high = v.verifications.agg(F.min(arrival), F.max(arrival)).first()

@@ -8,11 +8,14 @@ from landq import dims
 from landq.functions import text
 from landq.operators import tables
 from landq.plans.suite import Suite
-from landq.sources import land
+from landq.session import shared_folder
+from landq.sources import land, sinks
 
 suite = Suite()
 q = suite.query
 
+#: Folders of the written tables; a deployment takes about one for each 128 MB.
+BUCKETS = 16
 RING = "array(array(lon, lat), array(lon + 0.0025D, lat), array(lon + 0.0025D, lat - 0.0025D), array(lon, lat - 0.0025D), array(lon, lat))"
 
 
@@ -68,13 +71,29 @@ def _(v):
     return tables.export_corrections(v.corrections)
 
 
-@q("IO07_replace_by_key", """
-   select land_record_id, field_name, extracted_value, 'old' as origin from fields where land_record_id not in (select id from lr where id % 5 = 0)
-   union all select id, 'owner_name', owner_name, 'new' from lr where id % 5 = 0""", "fields")
-def _(v):
+REPLACED_SQL = """select land_record_id, field_name, extracted_value, 'old' as origin from fields where land_record_id not in (select id from lr where id % 5 = 0)
+   union all select id, 'owner_name', owner_name, 'new' from lr where id % 5 = 0"""
+
+
+def _replacement(v):
     old = v.fields.select("land_record_id", "field_name", "extracted_value", F.lit("old").alias("origin"))
     new = v.lr.where("id % 5 = 0").selectExpr("id as land_record_id", "'owner_name' as field_name", "owner_name as extracted_value", "'new' as origin")
-    return tables.replace_by_key(old, new, ["land_record_id"])
+    return old, new
+
+
+@q("IO07_replace_by_key", REPLACED_SQL, "fields")
+def _(v):
+    return tables.replace_by_key(*_replacement(v), ["land_record_id"])
+
+
+@q("IO07_replace_in_table", REPLACED_SQL, "fields")
+def _(v):
+    """Written to a table in buckets, and once more: the second run changes nothing."""
+    (old, new), path = _replacement(v), shared_folder(v.spark, "fields-table")
+    sinks.write_table(old, path, ["land_record_id"], BUCKETS)
+    for _ in range(2):
+        sinks.replace_in_table(path, new, ["land_record_id"], BUCKETS)
+    return sinks.read_table(v.spark, path)
 
 
 @q("IO08_conform_schema", """select id, owner_name, document_type, 'Acres' as area_unit, cast(null as bigint) as state_id,
@@ -89,21 +108,39 @@ CHANGES = ("id", "case when id % 2 = 0 then concat(owner_name, ' II') end as own
            "case when id % 3 = 0 then land_area + 1 end as land_area")
 
 
-@q("IO09_upsert_partial", f"""
-   with changes as (select {', '.join(CHANGES)} from lr where id % 4 <> 1
+UPSERT_SQL = f"""with changes as (select {', '.join(CHANGES)} from lr where id % 4 <> 1
      union all select id + 100000000, 'New owner', 1.5 from lr where id % 1000 = 0)
    select coalesce(l.id, c.id) as id, coalesce(c.owner_name, l.owner_name) as owner_name, coalesce(c.land_area, l.land_area) as land_area,
-          l.village from lr l full join changes c on l.id = c.id""", "lr")
-def _(v):
+          l.village from lr l full join changes c on l.id = c.id"""
+
+
+def _upsert(v):
     changes = v.lr.where("id % 4 <> 1").selectExpr(*CHANGES).unionByName(
         v.lr.where("id % 1000 = 0").selectExpr("id + 100000000 as id", "'New owner' as owner_name", "1.5D as land_area"))
-    return tables.upsert_partial(v.lr.select("id", "owner_name", "land_area", "village"), changes, "id", insert=True)
+    return v.lr.select("id", "owner_name", "land_area", "village"), changes
 
 
-RING_SQL = "[[lon, lat], [lon + 0.0025::double, lat], [lon + 0.0025::double, lat - 0.0025::double], [lon, lat - 0.0025::double], [lon, lat]]"
+@q("IO09_upsert_partial", UPSERT_SQL, "lr")
+def _(v):
+    return tables.upsert_partial(*_upsert(v), "id", insert=True)
 
 
-@q("IO10_feature_collection")
+@q("IO09_upsert_in_table", UPSERT_SQL, "lr")
+def _(v):
+    """Written to a table in buckets, and once more: the second run changes nothing."""
+    (records, changes), path = _upsert(v), shared_folder(v.spark, "records-table")
+    sinks.write_table(records, path, ["id"], BUCKETS)
+    for _ in range(2):
+        sinks.upsert_in_table(path, changes, "id", BUCKETS, insert=True)
+    return sinks.read_table(v.spark, path)
+
+
+@q("IO10_feature_collection", f"""select c.id, concat('{{"type":"Feature","properties":{{"id":', c.id, coalesce(concat(',"survey_number":', to_json(survey_number)), ''),
+   coalesce(concat(',"village":', to_json(village)), ''), coalesce(concat(',"district":', to_json(district)), ''),
+   coalesce(concat(',"cadastral_area":', cadastral_area), ''), coalesce(concat(',"survey_year":', to_json(survey_year)), ''),
+   '}},"geometry":{{"type":"Polygon","coordinates":[[[', lon, ',', lat, '],[', lon + 0.0025::double, ',', lat, '],[', lon + 0.0025::double, ',',
+   lat - 0.0025::double, '],[', lon, ',', lat - 0.0025::double, '],[', lon, ',', lat, ']]]}}}}') as feature
+   from cad c join (select id, 77 + (id % 100) / 100.0::double as lon, 23 + (id % 50) / 100.0::double as lat from lr) using (id)""", "cad")
 def _(v):
     parcels = v.cad.join(v.geo, "id").withColumn("geometry", F.expr(f"struct('Polygon' as type, array({RING}) as coordinates)"))
     return tables.feature_collection(parcels, ["id", "survey_number", "village", "district", "cadastral_area", "survey_year"])
