@@ -6,8 +6,11 @@ any number of documents. Of each kind the last document counts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -117,16 +120,40 @@ def comparable(value: Column) -> Column:
 def lowest_similarity(values: Column) -> Column:
     """Lowest pairwise difflib ratio of the up to four texts of a row; rows already settled carry NULL.
 
-    The function is made here, so it travels to the executors by value and they need no copy of this package.
+    A pair of texts is matched once in a batch, however many dossiers hold it. The function is made here, so it travels to
+    the executors by value and they need no copy of this package.
     """
-    def lowest(texts):
-        return min(SequenceMatcher(None, a, b).ratio() for a, b in combinations(texts, 2))
-
     def score(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda v: None if v is None else lowest(list(v))).astype("float64")
+        rows = [None if v is None else list(combinations(v, 2)) for v in batch]
+        known = {pair: SequenceMatcher(None, *pair).ratio() for pair in {p for row in rows if row for p in row}}
+        return pd.Series([None if row is None else min(known[p] for p in row) for row in rows], dtype="float64")
     return F.pandas_udf(score, T.DoubleType())(values)
 
 
+def characters(text: Column) -> Column:
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(
+        F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(text, i, F.lit(1))))
+
+
+def similarity_bound(a: Column, b: Column) -> Column:
+    """No difflib ratio of two texts is above this: twice the characters they share, in any order, to their length."""
+    def held(text: Column, c: Column) -> Column:
+        return F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    both = F.aggregate(F.array_distinct(characters(a)), F.lit(0), lambda n, c: n + F.least(held(a, c), held(b, c)))
+    return 2.0 * both / (F.length(a) + F.length(b))
+
+
+def lengths_bound(a: Column, b: Column) -> Column:
+    """The same from the lengths alone."""
+    return 2.0 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))
+
+
+def all_pairs_reach(texts: Column, limit: float, bound: Callable[[Column, Column], Column]) -> Column:
+    """Whether no pair of the up to four texts has a lower bound."""
+    pairs = combinations([F.get(texts, F.lit(i)) for i in range(len(dims.DOSSIER_BUCKETS))], 2)
+    return reduce(and_, [F.coalesce(bound(a, b) >= limit, F.lit(True)) for a, b in pairs])
+
+
 def given_values() -> Column:
     cells = F.array(*[F.col(k) for k in dims.DOSSIER_BUCKETS])
     return F.filter(cells, lambda v: ~v.isin(dims.NO_DOCUMENT, dims.NOT_FOUND))
@@ -137,15 +164,23 @@ def area_spread(values: Column) -> Column:
     return F.when(F.size(numbers) > 0, F.array_max(numbers) - F.array_min(numbers))
 
 
-def evaluate_fields(matrix: DataFrame, fuzzy: float = 0.82) -> DataFrame:
-    """The matrix with status GREEN / YELLOW / RED and a note per field."""
+def evaluate_fields(matrix: DataFrame, fuzzy: float = 0.82, exact: bool = False) -> DataFrame:
+    """The matrix with status GREEN / YELLOW / RED and a note per field.
+
+    `similarity` is the lowest ratio of two values. It needs Python, so rows whose lengths or characters rule out `fuzzy`
+    have no `similarity` unless it is to be `exact`; status and note are the same.
+    """
     vals = given_values()
     spread = F.when(F.col("field_key") == "land_area", area_spread(F.col("vals")))
     texts = F.array_distinct(F.transform("vals", comparable))
     staged = (matrix.withColumn("vals", vals).withColumn("n", F.size("vals")).withColumn("spread", spread)
               .withColumn("texts", F.when(F.col("spread").isNull(), texts)))
     open_ = (F.col("n") > 1) & F.col("spread").isNull() & (F.size("texts") > 1)
-    scored = staged.withColumn("similarity", lowest_similarity(F.when(open_, F.col("texts"))))
+    if not exact:
+        staged = staged.withColumn("reach", open_ & all_pairs_reach(F.col("texts"), fuzzy, lengths_bound)).withColumn(
+            "reach", F.when(F.col("reach"), all_pairs_reach(F.col("texts"), fuzzy, similarity_bound)))
+        open_ = F.col("reach")
+    scored = staged.withColumn("similarity", lowest_similarity(F.when(open_, F.col("texts")))).drop("reach")
     near = F.col("similarity") >= fuzzy
     delta = F.format_string("%.2f", "spread")
     status = (F.when(F.col("n") < 2, "YELLOW").when(F.col("spread") > 0.05, "RED").when(F.col("spread") > 0.001, "YELLOW")

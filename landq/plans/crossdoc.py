@@ -98,19 +98,52 @@ def _(v):
     return matrix.select("dossier", "field_key", F.size(vals).alias("values_given"), ((F.size(vals) > 1) & (F.size(texts) == 1)).alias("equal"))
 
 
-@q("XD07_fuzzy_similarity")
+#: The ratio of two texts: twice the characters in matching blocks to their length. The longest block comes first (of equal
+#: ones the first in a, then in b), then what is left of it and what is right of it.
+BLOCK = """list_max(flatten([[{'k': k, 'i': -i} for k in range(1, len(s) - i + 2) if contains(t, substr(s, i, k))] for i in range(1, len(s) + 1)]))"""
+EVALUATED = f"""with {MATRIX}, g as (select *, {GIVEN} as vals from mat),
+   w as (select *, case when field_key = 'land_area' then list_max({NUMBERS}) - list_min({NUMBERS}) end as spread, list_transform(vals, lambda x: {COMPARABLE}) as raw from g),
+   tx as (select *, case when spread is null then list_filter(raw, lambda x, i: list_position(raw, x) = i) end as texts from w),
+   pairs as materialized (select distinct texts[x.i] as a, texts[y.i] as b from tx, range(1, 5) as x(i), range(1, 5) as y(i) where len(vals) > 1 and x.i < y.i and y.i <= len(texts)),
+   ratio as (with recursive step(a, b, s, t, blk) as (select a, b, a, b, {BLOCK.replace('(t,', '(b,').replace('(s', '(a')} from pairs
+     union all select a, b, s2, t2, {BLOCK.replace('(t,', '(t2,').replace('(s', '(s2')} from (
+       select a, b, unnest([substr(s, 1, -blk.i - 1), substr(s, -blk.i + blk.k)]) as s2,
+         unnest([substr(t, 1, instr(t, substr(s, -blk.i, blk.k)) - 1), substr(t, instr(t, substr(s, -blk.i, blk.k)) + blk.k)]) as t2
+       from step where blk is not null) where s2 <> '' and t2 <> '')
+     select a, b, 2.0::double * coalesce(sum(blk.k), 0)::double / (len(a) + len(b)) as r from step group by a, b),
+   low as (select dossier, field_no, min(r) as similarity from tx, range(1, 5) as x(i), range(1, 5) as y(i), ratio
+     where len(vals) > 1 and x.i < y.i and y.i <= len(texts) and a = texts[x.i] and b = texts[y.i] group by 1, 2),
+   ev as (select tx.*, similarity, case when len(vals) < 2 then 'YELLOW' when spread > 0.05 then 'RED' when spread > 0.001 then 'YELLOW' when spread is not null then 'GREEN'
+       when len(texts) = 1 then 'GREEN' when similarity >= 0.82 then 'YELLOW' when field_key in ({', '.join(lit(f) for f in dims.IDENTITY_FIELDS)}) then 'RED' else 'YELLOW' end as status,
+     case when len(vals) = 0 then 'Information missing across uploaded records' when len(vals) = 1 then 'Only 1 document provides this field; unable to cross-validate'
+       when spread > 0.05 then concat('Area conflict detected: delta ', printf('%.2f', spread), ' units between uploaded documents')
+       when spread > 0.001 then concat('Minor area discrepancy: delta ', printf('%.2f', spread), ' units')
+       when spread is not null then 'Land area perfectly matches across records' when len(texts) = 1 then 'Values match across documents'
+       when similarity >= 0.82 then 'Possible minor OCR typographical discrepancy'
+       when field_key in ({', '.join(lit(f) for f in dims.IDENTITY_FIELDS)}) then 'Substantial conflict in legal identifier/party name'
+       else 'Discrepancy detected across records; requires officer clarification' end as notes
+     from tx left join low using (dossier, field_no))"""
+
+
+@q("XD07_fuzzy_similarity", f"{EVALUATED} select dossier, field_key, round(similarity, 6) as similarity from ev where similarity is not null", "lr", "fields")
 def _(v):
-    evaluated = crossdoc.evaluate_fields(crossdoc.comparison_matrix(_records(v), v.fields))
+    evaluated = crossdoc.evaluate_fields(crossdoc.comparison_matrix(_records(v), v.fields), exact=True)
     return evaluated.where("similarity is not null").select("dossier", "field_key", F.round("similarity", 6).alias("similarity"))
 
 
-@q("XD08_field_status")
+@q("XD08_field_status", f"{EVALUATED} select dossier, field_key, {', '.join(dims.DOSSIER_BUCKETS)}, status, notes from ev", "lr", "fields")
 def _(v):
     return crossdoc.evaluate_fields(crossdoc.comparison_matrix(_records(v), v.fields)).select(
         "dossier", "field_key", *dims.DOSSIER_BUCKETS, "status", "notes")
 
 
-@q("XD09_dossier_summary")
+@q("XD09_dossier_summary", f"""{EVALUATED},
+   c as (select dossier, max(documents) as documents, count(*) filter (status = 'GREEN') as match_count,
+     count(*) filter (status = 'RED' or (status = 'YELLOW' and not list_contains([{', '.join(dims.DOSSIER_BUCKETS)}], 'Not found'))) as mismatch_count,
+     count(*) filter (status = 'YELLOW' and list_contains([{', '.join(dims.DOSSIER_BUCKETS)}], 'Not found')) as missing_count,
+     count(*) filter (status = 'RED') as red, count(*) filter (status = 'YELLOW') as yellow from ev group by dossier)
+   select dossier, documents, match_count, mismatch_count, missing_count,
+     case when red > 0 then 'RED' when yellow > 0 or documents < 2 then 'YELLOW' else 'GREEN' end as overall_status from c""", "lr", "fields")
 def _(v):
     return crossdoc.dossier_summary(crossdoc.evaluate_fields(crossdoc.comparison_matrix(_records(v), v.fields)))
 
