@@ -164,11 +164,11 @@ def area_spread(values: Column) -> Column:
     return F.when(F.size(numbers) > 0, F.array_max(numbers) - F.array_min(numbers))
 
 
-def evaluate_fields(matrix: DataFrame, fuzzy: float = 0.82, exact: bool = False) -> DataFrame:
+def evaluate_fields(matrix: DataFrame, fuzzy: float = 0.82, exact: bool = True) -> DataFrame:
     """The matrix with status GREEN / YELLOW / RED and a note per field.
 
-    `similarity` is the lowest ratio of two values. It needs Python, so rows whose lengths or characters rule out `fuzzy`
-    have no `similarity` unless it is to be `exact`; status and note are the same.
+    `similarity` is the lowest ratio of two values. It needs Python, so where it needn't be `exact`, rows whose lengths or
+    characters rule out `fuzzy` have none; status and note are the same.
     """
     vals = given_values()
     spread = F.when(F.col("field_key") == "land_area", area_spread(F.col("vals")))

@@ -83,7 +83,7 @@ NUMBERS = f"list_filter(list_transform({GIVEN}, lambda x: try_cast(nullif(regexp
    select dossier, case when n < 2 then 'YELLOW' when list_max(nums) - list_min(nums) > 0.05 then 'RED' when list_max(nums) - list_min(nums) > 0.001 then 'YELLOW' else 'GREEN' end as status from a""", "lr", "fields")
 def _(v):
     matrix = crossdoc.comparison_matrix(_records(v), v.fields).where("field_key = 'land_area'")
-    return crossdoc.evaluate_fields(matrix).select("dossier", "status")
+    return crossdoc.evaluate_fields(matrix, exact=False).select("dossier", "status")
 
 
 COMPARABLE = r"regexp_replace(regexp_replace(lower(trim(x)), '[^\p{L}\p{M}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')"
@@ -133,7 +133,7 @@ def _(v):
 
 @q("XD08_field_status", f"{EVALUATED} select dossier, field_key, {', '.join(dims.DOSSIER_BUCKETS)}, status, notes from ev", "lr", "fields")
 def _(v):
-    return crossdoc.evaluate_fields(crossdoc.comparison_matrix(_records(v), v.fields)).select(
+    return crossdoc.evaluate_fields(crossdoc.comparison_matrix(_records(v), v.fields), exact=False).select(
         "dossier", "field_key", *dims.DOSSIER_BUCKETS, "status", "notes")
 
 
@@ -145,7 +145,7 @@ def _(v):
    select dossier, documents, match_count, mismatch_count, missing_count,
      case when red > 0 then 'RED' when yellow > 0 or documents < 2 then 'YELLOW' else 'GREEN' end as overall_status from c""", "lr", "fields")
 def _(v):
-    return crossdoc.dossier_summary(crossdoc.evaluate_fields(crossdoc.comparison_matrix(_records(v), v.fields)))
+    return crossdoc.dossier_summary(crossdoc.evaluate_fields(crossdoc.comparison_matrix(_records(v), v.fields), exact=False))
 
 
 GAPPED = "case when id % 3 = 0 then 'Not found' else survey_number end"
