@@ -43,7 +43,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def link_groups(buckets: DataFrame, links_of: Callable[[DataFrame], DataFrame], rounds: int = 2,
-                close: Column | None = None, small: int = 0) -> DataFrame:
+                close: Column | None = None, small: int = 0, narrow: Callable[[DataFrame], DataFrame] | None = None,
+                near: Column | None = None) -> DataFrame:
     """Components of the links among items that share a bucket: node, component.
 
     buckets: bucket, item, and columns that `links_of` wants of either side, with suffixes _a and _b. `links_of` gets candidate
@@ -52,7 +53,9 @@ def link_groups(buckets: DataFrame, links_of: Callable[[DataFrame], DataFrame],
     in those of at most `small` items all meet in the first round, and they are done with; at that size pairs grow as the items.
 
     In each of the first `rounds` rounds the items of a bucket meet one lead of it. After that only items of different components
-    meet all others of their bucket. So a large group of like items costs rounds, not pairs, and no link between components is lost.
+    meet all others of their bucket. `narrow` may deal those anew for that: it gets bucket, item, component and the other columns,
+    and returns bucket, item, component and what `near` (a condition like `close`) wants, so that items which may be linked and
+    are of different components still share a bucket; `links_of` then has only a and b. So a large group of like items costs rounds, not pairs, and no link between components is lost.
     """
     extra = [c for c in buckets.columns if c not in ("bucket", "item", "size")]
     close = F.lit(True) if close is None else close
@@ -67,7 +70,10 @@ def link_groups(buckets: DataFrame, links_of: Callable[[DataFrame], DataFrame],
             open_ = spool(open_.join(mixed.select("bucket"), "bucket", "left_semi"), "open")
             if open_.isEmpty():
                 break
-        left, right = ([F.col(c).alias(f"{c}_{s}") for c in ["item", "component", *extra]] for s in "xy")
+        if turn == rounds and narrow is not None:
+            open_, extra, close = spool(narrow(open_), "narrowed"), [], F.lit(True) if near is None else near
+        columns = [c for c in open_.columns if c != "bucket"]
+        left, right = ([F.col(c).alias(f"{c}_{s}") for c in columns] for s in "xy")
 
         def all_pairs(some: DataFrame) -> DataFrame:
             return some.select("bucket", *left).join(some.select("bucket", *right), "bucket").filter(

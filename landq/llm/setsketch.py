@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from landq.llm.common import small_batches, spool
@@ -167,6 +167,40 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, limit: float) -> DataF
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(work, "a bigint, b bigint").distinct()
 
 
+GRAMS = "item bigint, component bigint, n bigint, copy bigint, gram bigint"
+
+
+def rare_prefixes(items: DataFrame, texts: DataFrame, k: int, limit: float) -> DataFrame:
+    """bucket (a shingle), item, component, n (size of the set), place: the rarest shingles of each item's set, rarest first.
+
+    items: item, component, each once. Shingles that only one component holds come first: no pair of different components shares
+    them. The others follow by the number of items that hold them. Two sets that reach the limit share one of their first
+    n - limit * n + 1 shingles in any order common to all, so leaving out the rest, and what nobody else holds, loses no pair.
+    """
+    percent = round(100 * limit)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, n, doc, grams in shingles(batch.column(2).to_pylist(), k):
+                size, total = np.bincount(doc, minlength=n), np.zeros(n, np.uint64)
+                np.add.at(total, doc, mix(grams + np.uint64(77)))
+                item, component = (batch.column(i).to_numpy()[first:first + n] for i in (0, 1))
+                for low in range(0, len(doc), 1 << 16):
+                    at = doc[low:low + (1 << 16)]
+                    columns = [item[at], component[at], size[at], total.view(np.int64)[at], grams[low:low + (1 << 16)].view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["item", "component", "n", "copy", "gram"])
+
+    small_batches(items.sparkSession)
+    rows = texts.withColumnRenamed("doc_id", "item").join(items, "item").select("item", "component", "text")
+    grams = spool(rows.mapInArrow(work, GRAMS), "open-shingles")
+    mixed = grams.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("held"))
+    met = grams.join(mixed.filter("low < high").select("gram", "held"), "gram")
+    own = Window.partitionBy("item", "copy")
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("held", "gram")) - 1
+    return (met.withColumn("place", place).filter(f"place < n - (n * {percent} + 99) div 100 + 1")
+            .select(F.col("gram").alias("bucket"), "item", "component", "n", "place"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, limit: float = 0.8, rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable over links), kept (doc_id = component_id), for each row of `docs` (doc_id, text).
 
@@ -175,16 +209,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, limit: float = 0.8, rounds: int
     a null doc_id is alone, with a null component, and kept. Other columns are not read.
 
     Documents with equal sets are one class before all else. Classes that share a band meet one lead of that band in each of the
-    first `rounds` rounds; only what is then in different components meets within its bands, so a large group of near copies
-    costs rounds, not pairs.
+    first `rounds` rounds. What is then still in a band with other components meets by the rarest shingles of whole sets, under the
+    prefix, length and positional filters, so neither a large group of near copies nor copies a little too far apart cost pairs.
     """
     sketches = spool(sketch_documents(docs, k), "sketches")
     full = sketches.filter("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("rep"))
     member = full.select("doc_id", "set_hash", "n_shingles").join(classes, ["set_hash", "n_shingles"]).select("doc_id", "rep").distinct()
     reps = full.join(classes.select(F.col("rep").alias("doc_id"), "set_hash", "n_shingles"), ["doc_id", "set_hash", "n_shingles"], "left_semi")
-    bands = reps.dropDuplicates(["doc_id", "set_hash"]).select("doc_id", F.posexplode("sketch")).select("doc_id", F.xxhash64("pos", "col").alias("band"))
-    shared = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    bands = reps.dropDuplicates(["doc_id", "set_hash"]).select(
+        "doc_id", "n_shingles", F.posexplode("sketch")).select("doc_id", F.col("n_shingles").alias("n"), F.xxhash64("pos", "col").alias("band"))
+    shared = bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     bands = spool(bands.join(shared, "band", "left_semi"), "bands")
     near = bands.select("doc_id").distinct()
     some = spool(reps.join(near, "doc_id", "left_semi").dropDuplicates(["doc_id", "set_hash"]).drop("set_hash"), "candidates")
@@ -193,7 +228,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, limit: float = 0.8, rounds: int
     def links_of(pairs: DataFrame) -> DataFrame:
         return confirmed(spool(likely(pairs.select("a", "b").distinct(), some, limit), "pairs"), texts, k, limit)
 
-    joined = link_groups(bands.select(F.col("band").alias("bucket"), F.col("doc_id").alias("item")), links_of, rounds)
+    def narrow(open_: DataFrame) -> DataFrame:
+        return rare_prefixes(open_.select("item", "component").distinct(), texts, k, limit)
+
+    percent = round(100 * limit)
+    close = F.expr(f"least(n_x, n_y) * 100 >= greatest(n_x, n_y) * {percent}")
+    ahead = F.expr(f"least(n_x - place_x, n_y - place_y) * {100 + percent} >= (n_x + n_y) * {percent}")
+    joined = link_groups(bands.select(F.col("band").alias("bucket"), F.col("doc_id").alias("item"), "n"), links_of, rounds,
+                         close=close, narrow=narrow, near=close & ahead)
     groups = member.join(joined.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(
         F.min(F.coalesce("component", "rep")).alias("component_id"))
     return (sketches.select("doc_id", "n_shingles").join(groups, "doc_id", "left")

@@ -179,6 +179,39 @@ def test_near_duplicates(spark, k):
     assert kept.columns == docs_of(spark, []).columns and {r.doc_id for r in kept.collect()} == {i for i, (_, c) in want.items() if i == c} | {None}
 
 
+def test_near_copies_around_the_limit(spark, monkeypatch):
+    """Copies whose likeness to one another lies on both sides of the limit: leads don't settle them, yet few pairs are formed."""
+    rng, k = np.random.RandomState(9), 5
+    rows = []
+    for g, (n, copies) in enumerate([(150, 40), (400, 40)]):
+        base = [f"g{g}w{i}" for i in range(n)]
+        for c in range(copies):
+            copy = list(base)
+            for at in rng.choice(n, rng.randint(0, n // 25), replace=False):
+                copy[at] = f"e{rng.randint(10 ** 9)}"
+            rows.append((100 * g + c, " ".join(copy)))
+    rows += [(100, "another text of the same id"), (None, rows[0][1])]
+    texts = {}
+    for i, t in rows[:80]:
+        w = words_of(t)
+        texts[i] = {tuple(w[j:j + k]) for j in range(len(w) - k + 1)}
+    ids = sorted(texts)
+    root = groups([texts[i] for i in ids])
+    made, plain = [], setsketch.likely
+
+    def counted(pairs, sketches, limit):
+        made.append(pairs.count())
+        return plain(pairs, sketches, limit)
+
+    monkeypatch.setattr(setsketch, "likely", counted)
+    for rounds in (0, 2):
+        made.clear()
+        got = {r.doc_id: r.component_id for r in setsketch.near_duplicates(docs_of(spark, rows), k, rounds=rounds).collect()}
+        assert [got[i] for i in ids] == [ids[r] for r in root] and got[None] is None
+        assert len(set(root)) > 4
+    assert len(made) == 3 and made[2] < 200
+
+
 def test_sketch_estimate():
     rng = np.random.RandomState(5)
     for j in (0.5, 0.8, 0.95):
