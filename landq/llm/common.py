@@ -21,13 +21,27 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: A dictionary of up to this many bytes replaces repeated values in a column of a spool.
+DICTIONARY = 8 << 20
+
+
 def spool(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """`df` written to the shared folder and read again: later steps don't compute it anew, also after a lost executor."""
     path = shared_folder(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).option("parquet.dictionary.page.size", DICTIONARY).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_spools(*spools: DataFrame | None) -> None:
+    """Delete the files of spools that nothing reads any more, once what was computed from them is itself written."""
+    for df in spools:
+        if df is not None:
+            context = df.sparkSession.sparkContext
+            for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+                path = context._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def pick_name(df: DataFrame, wanted: str) -> str:
     """`wanted`, with underscores behind it until no column of `df` has that name."""
     taken = {c.lower() for c in df.columns}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landq.llm.common import spool
+from landq.llm.common import drop_spools, spool
 from landq.session import checkpointed
 
 
@@ -67,12 +67,13 @@ def link_groups(buckets: DataFrame, links_of: Callable[[DataFrame], DataFrame],
         if joined is not None:
             open_ = buckets.join(joined.withColumnRenamed("node", "item"), "item", "left").withColumn("component", F.coalesce("component", "item"))
             mixed = open_.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-            open_ = spool(open_.join(mixed.select("bucket"), "bucket", "left_semi"), "open")
+            open_ = dealt = spool(open_.join(mixed.select("bucket"), "bucket", "left_semi"), "open")
             if open_.isEmpty():
+                drop_spools(open_)
                 break
         if turn == rounds and narrow is not None:
             open_, extra, close = spool(narrow(open_), "narrowed"), [], F.lit(True) if near is None else near
-        columns = [c for c in open_.columns if c != "bucket"]
+        columns = [c for c in open_.columns if c not in ("bucket", "size")]
         left, right = ([F.col(c).alias(f"{c}_{s}") for c in columns] for s in "xy")
 
         def all_pairs(some: DataFrame) -> DataFrame:
@@ -93,5 +94,6 @@ def link_groups(buckets: DataFrame, links_of: Callable[[DataFrame], DataFrame],
                  for s, p, q in (("a", "x", "y"), ("b", "y", "x")) for c, n in [("item", s), *[(e, f"{e}_{s}") for e in extra]]]
         found = spool(links_of(pairs.select("bucket", *sides)), "links")
         known = found if joined is None else found.union(joined)  # what earlier links have joined, as one link for each item
-        joined = spool(components(known), "components")
+        before, joined = joined, spool(components(known), "components")
+        drop_spools(found, before, dealt if turn else None)
     return joined

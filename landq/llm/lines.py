@@ -11,7 +11,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landq.llm.common import small_batches, spool
+from landq.llm.common import drop_spools, small_batches, spool
 from landq.llm.components import link_groups
 
 #: The operators' default: lines of fewer different tokens (headings, rules, single words) are left alone. The queries take EVERY.
@@ -106,7 +106,10 @@ def repeated_lines(docs: DataFrame, limit: float = 0.8, least: int = LEAST_TOKEN
         near = spool(pairs.select("a", "b").distinct(), "line-pairs")
         items = near.select(F.col("a").alias("item")).union(near.select("b")).distinct()
         wanted = lines.select("item", "tokens").join(items, "item", "left_semi")
-        return similar(near, spool(wanted.groupBy("item").agg(F.first("tokens").alias("tokens")), "line-sets"), percent)
+        sets = spool(wanted.groupBy("item").agg(F.first("tokens").alias("tokens")), "line-sets")
+        links = spool(similar(near, sets, percent), "line-links")
+        drop_spools(near, sets)
+        return links
 
     joined = link_groups(buckets, links_of, rounds=2, close=close, small=SMALL)
     groups = classes.join(joined.withColumnRenamed("node", "item"), "item", "left").withColumn("group", F.coalesce("component", "item"))
