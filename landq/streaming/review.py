@@ -42,54 +42,88 @@ def records_after(folder: str, records: DataFrame, parcels: DataFrame) -> DataFr
 TELEMETRY = "code string, accuracy bigint, processed bigint, corrections bigint, pending bigint"
 
 
+#: Verifications that wait are kept by the hour, in microseconds, and rows of a batch are put there this many at a time.
+HOUR, HELD = 3_600_000_000, 200_000
+
+
 class LanguageFold(StatefulProcessor):
     """The telemetry of one language in event time: verifications below the watermark are folded into one triple, those above
-    it are kept by time and id, since one that arrives later may still come before them."""
+    it are kept by time and id, since one that arrives later may still come before them.
+
+    An hour's verifications are one value of the state, sorted, so state is read and written once an hour and not for each row."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.settled = handle.getValueState("settled", "accuracy bigint, processed bigint, corrections bigint")
-        self.pending = handle.getMapState("pending", "micros bigint, event_id bigint", "corrections bigint, copies bigint")
+        self.pending = handle.getMapState(
+            "pending", "hour bigint", "waiting array<struct<micros: bigint, event_id: bigint, corrections: bigint, copies: bigint>>")
         self.handle = handle
 
     def _start(self, code: str) -> tuple[int, int, int]:
         return tuple(self.settled.get()) if self.settled.exists() else ({c: a for c, _, a in dims.LANGUAGE_ACCURACY}[code], 0, 0)
 
-    def _waiting(self) -> list[tuple]:
-        return sorted((tuple(k), tuple(v)) for k, v in self.pending.iterator())
+    def _hours(self) -> list[int]:
+        return sorted(k[0] for k in self.pending.keys())
+
+    def _waiting(self, hour: int) -> list[tuple]:
+        return [tuple(w) for w in self.pending.getValue((hour,))[0]]
+
+    def _keep(self, fresh: dict[int, dict]) -> None:
+        for hour, found in fresh.items():
+            known = {w[:2]: w[2:] for w in self._waiting(hour)} if self.pending.containsKey((hour,)) else {}
+            for at, (c, copies) in found.items():
+                known[at] = (c, known.get(at, (c, 0))[1] + copies)
+            self.pending.updateValue((hour,), ([(*at, *known[at]) for at in sorted(known)],))
 
     @staticmethod
     def _fold(state: tuple[int, int, int], waiting: list[tuple]) -> tuple[int, int, int]:
         accuracy, processed, corrections = state
-        for _, (c, copies) in waiting:
+        for _, _, c, copies in waiting:
             for _ in range(copies):
                 processed, corrections = processed + 1, corrections + c
                 accuracy = max(LOW, min(HIGH, accuracy + 5 * processed - 2 * corrections))
         return accuracy, processed, corrections
 
-    def _report(self, code: str, waiting: list[tuple]) -> Row:
-        accuracy, processed, corrections = self._fold(self._start(code), waiting)
-        return Row(code=code, accuracy=accuracy, processed=processed, corrections=corrections, pending=len(waiting))
+    def _report(self, code: str) -> Row:
+        state, n = self._start(code), 0
+        for hour in self._hours():
+            waiting = self._waiting(hour)
+            state, n = self._fold(state, waiting), n + len(waiting)
+        return Row(code=code, accuracy=state[0], processed=state[1], corrections=state[2], pending=n)
 
     def handleInputRows(self, key, rows, timerValues):
+        fresh, n = {}, 0
         for r in rows:
-            at = (r.micros, r.event_id)
-            copies = self.pending.getValue(at)[1] if self.pending.containsKey(at) else 0
-            self.pending.updateValue(at, (r.c, copies + 1))
-        waiting = self._waiting()
-        if waiting and not any(True for _ in self.handle.listTimers()):
-            self.handle.registerTimer(waiting[0][0][0] // 1000 + 1)
-        yield self._report(key[0], waiting)
+            hour, at = fresh.setdefault(r.micros // HOUR, {}), (r.micros, r.event_id)
+            hour[at] = (r.c, hour.get(at, (0, 0))[1] + 1)
+            n += 1
+            if n % HELD == 0:
+                self._keep(fresh)
+                fresh = {}
+        self._keep(fresh)
+        hours = self._hours()
+        if hours and not any(True for _ in self.handle.listTimers()):
+            self.handle.registerTimer(self._waiting(hours[0])[0][0] // 1000 + 1)
+        yield self._report(key[0])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = self._waiting()
-        past = [w for w in waiting if w[0][0] < mark]
-        self.settled.update(self._fold(self._start(key[0]), past))
-        for at, _ in past:
-            self.pending.removeKey(at)
-        if len(past) < len(waiting):
-            self.handle.registerTimer(max(waiting[len(past)][0][0] // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
-        yield self._report(key[0], waiting[len(past):])
+        state, first = self._start(key[0]), None
+        for hour in self._hours():
+            if hour * HOUR >= mark and first is not None:
+                break
+            waiting = self._waiting(hour)
+            past = [w for w in waiting if w[0] < mark]
+            state = self._fold(state, past)
+            if len(past) == len(waiting):
+                self.pending.removeKey((hour,))
+            else:
+                first = waiting[len(past)][0] if first is None else first
+                if past:
+                    self.pending.updateValue((hour,), (waiting[len(past):],))
+        self.settled.update(state)
+        if first is not None:
+            self.handle.registerTimer(max(first // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        yield self._report(key[0])
 
     def close(self) -> None:
         pass

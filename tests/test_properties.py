@@ -284,3 +284,30 @@ def test_stream_of_actions_does_not_depend_on_its_batches(spark):
         out.append(sorted(map(tuple, rows)))
     want = workflow.apply_actions(v.lr, v.actions, v.cad).select("id", "status", "is_public", "land_area").collect()
     assert out[0] == out[1] == sorted(map(tuple, want))
+
+
+def test_stream_telemetry_state_is_by_the_hour(spark, tmp_path):
+    """An hour's verifications are one value of the state: rows that repeat or come late give what the loop gives."""
+    begin = datetime.datetime(2023, 12, 31, 20, 30, tzinfo=datetime.timezone.utc)
+    rows = [(i, begin + datetime.timedelta(minutes=i), "hi", i % 4) for i in range(900)] + [(5, begin + datetime.timedelta(minutes=5), "hi", 1)] * 2
+    accuracy, processed, corrections = 9240, 0, 0
+    for _, _, _, c in sorted(rows, key=lambda r: (r[1], r[0])):
+        processed, corrections = processed + 1, corrections + c
+        accuracy = max(8000, min(9940, accuracy + 5 * processed - 2 * corrections))
+    got = delivered(spark, [rows[i::3] for i in (2, 0, 1)], "2 days", tmp_path)["hi"]
+    assert got == (accuracy, processed, corrections, 900)
+
+    class Once:
+        """A state that counts its writes."""
+        def __init__(self):
+            self.held, self.writes = {}, 0
+
+        def updateValue(self, key, value):
+            self.held[key], self.writes = value, self.writes + 1
+
+        getValue = lambda self, key: self.held[key]
+        containsKey = lambda self, key: key in self.held
+    fold = review.LanguageFold()
+    fold.pending = Once()
+    fold._keep({0: {(i, i): (1, 1) for i in range(1000)}})
+    assert fold.pending.writes == 1 and len(fold._waiting(0)) == 1000
