@@ -106,7 +106,8 @@ def _(v):
     found = script.detect_languages("text")["distribution"]
     plain = F.transform(found, lambda x: F.concat_ws(":", F.when(x["code"] == "mr", "hi").when(x["code"] == "as", "bn").otherwise(x["code"]),
                                                      x["percentage"].cast("string"), x["count"].cast("string")))
-    return v.indic.select("doc_id", F.array_join(plain, " ").alias("distribution")).where("distribution <> ''")
+    # A generator in place of a filter: a filter would be pushed below and repeat the text's own expression at each use.
+    return v.indic.select("doc_id", F.explode(F.filter(F.array(F.array_join(plain, " ")), lambda d: d != "")).alias("distribution"))
 
 
 @q("TX05_detect_language_documents", f"""with docs as (select doc_id, text from documents), {_language_ctes('docs')} {LANGUAGE_SQL.format('docs')}""")

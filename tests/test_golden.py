@@ -139,3 +139,19 @@ def test_every_term_of_the_dictionaries(spark):
         got = spark.createDataFrame([(t,) for t in terms], "label string").select("label", column(F.col("label")).alias("field")).collect()
         assert [(r.label, r.field) for r in got] == [(t, first(t.lower())) for t in terms]
     assert one(spark, match_alias(F.lit("জেলা"))) == "district" and one(spark, canonical_field(F.lit("ജില്ല"))) == "district"
+
+
+def test_each_letter_is_looked_up_once(spark):
+    """Letters are found by their place in the blocks: letters of every script, marks without a romanization, other characters."""
+    from landq.functions.translit import letter_table
+    table = letter_table()
+    assert one(spark, translit.spelled(F.lit("".join(table) + "a😀\u0e01"))) == "".join(table.values()) + "a😀\u0e01"
+    unread = "".join(chr(i) for i in range(0x0900, 0x0E00) if chr(i) not in table and chr(i).strip())
+    assert one(spark, translit.spelled(F.lit(unread))) == unread
+
+
+def test_expensive_texts_are_not_repeated(spark):
+    """The languages of a text are worked out once, not again in a filter below."""
+    from landq.plans import catalog
+    plan = catalog.queries()["TX05_detect_language"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_join") == 1
