@@ -14,7 +14,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landq.session import checkpointed
+from landq.session import checkpointed, written
 
 Test = Callable[[str, str], Column]
 
@@ -37,7 +37,7 @@ def partnered(postings: DataFrame, light: list[str], fits: Callable[[str, str, i
 
     settled = None
     for level in range(1, lengths + 1):
-        postings = checkpointed(postings.select("gid", "key", *light))
+        postings = written(postings.select("gid", "key", *light), "postings")
         keys = postings.groupBy("key").agg(F.count("*").alias("n"), F.min_by(F.struct("gid", *light), "gid").alias("lead")).where("n > 1")
         keys = checkpointed(keys.withColumn("all", (F.col("n") <= full) | F.lit(level == lengths)))
         members = postings.join(keys.select("key", "all"), "key")
@@ -88,6 +88,33 @@ def word_set(column: str) -> Column:
     return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
+#: Counters that words are counted in by hash. Only the order of words depends on them, never which texts are similar.
+COUNTERS = 1 << 18
+
+
+def counter(word: Column) -> Column:
+    return F.pmod(word, F.lit(COUNTERS)).cast("int")
+
+
+def rarity(sets: DataFrame) -> Column:
+    """Array of how often the words of each counter occur in `words`, on a scale of logarithms.
+
+    COUNTERS small numbers, whatever the input, as a literal of the tasks: no text's words are shuffled to be ranked.
+    """
+    counts = sets.select(F.explode("words").alias("word")).groupBy(counter(F.col("word")).alias("counter")).agg(F.count("*").alias("n"))
+    level = F.least(F.lit(127.0), 6 * F.log2("n")).cast("tinyint")
+    every = sets.sparkSession.range(COUNTERS).select(F.col("id").cast("int").alias("counter"))
+    levels = every.join(counts, "counter", "left").select(F.struct("counter", F.coalesce(level, F.lit(0).cast("tinyint")).alias("level")).alias("x"))
+    text = levels.agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["level"].cast("string")), ",")).first()[0]
+    return F.split(F.lit(text), ",").cast("array<tinyint>")
+
+
+def by_rarity(levels: Column) -> Column:
+    """`words` from rare to common, the same order in all texts."""
+    ordered = F.sort_array(F.transform("words", lambda w: F.struct(F.get(levels, counter(w)).alias("level"), w.alias("word"))))
+    return F.transform(ordered, lambda x: x["word"])
+
+
 def similar_texts(documents: DataFrame, text: str = "ocr_raw_text", threshold: float = 0.85, min_chars: int = 50,
                   full: int = FULL) -> DataFrame:
     """Documents (doc_id, land_record_id) whose word set has a Jaccard similarity above the threshold with another's.
@@ -97,15 +124,12 @@ def similar_texts(documents: DataFrame, text: str = "ocr_raw_text", threshold: f
     the first d words that two sets share is a key of both; keys with more than `full` sets get a word more.
     """
     usable = documents.where(F.length(F.trim(text)) > min_chars).select("doc_id", "land_record_id", word_set(text).alias("words"))
-    usable = checkpointed(usable.where(F.size("words") > 0).withColumn("code", F.concat_ws(
-        ":", F.xxhash64("words"), F.xxhash64(F.lit(1), "words"))))
+    usable = usable.where(F.size("words") > 0)
+    usable = written(usable.select("doc_id", "land_record_id", by_rarity(rarity(usable)).alias("ranked"), F.concat_ws(
+        ":", F.xxhash64("words"), F.xxhash64(F.lit(1), "words")).alias("code")), "word-sets")
     signature = F.col("code")
-    groups = checkpointed(grouped_copies(usable, signature, ["words"]))
-    words = groups.select("gid", F.explode("words").alias("word"))
-    held = words.groupBy("word").agg(F.count("*").alias("df"))
-    ranked = words.join(held, "word").groupBy("gid").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("df", "word"))), lambda w: w["word"]).alias("ranked"))
-    items = checkpointed(groups.select("gid", "only", F.size("words").alias("n")).join(ranked, "gid"))
+    groups = written(grouped_copies(usable, signature, ["ranked"]), "text-groups")
+    items = groups.select("gid", "only", F.size("ranked").alias("n"), "ranked")
     size = F.size("ranked")
 
     def last(length: int) -> Column:

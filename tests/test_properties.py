@@ -311,3 +311,14 @@ def test_stream_telemetry_state_is_by_the_hour(spark, tmp_path):
     fold.pending = Once()
     fold._keep({0: {(i, i): (1, 1) for i in range(1000)}})
     assert fold.pending.writes == 1 and len(fold._waiting(0)) == 1000
+
+
+def test_words_are_ranked_without_a_shuffle_of_texts(spark):
+    """Rare words come first, in the same order in all texts, from counters of fixed size in place of a join by word."""
+    docs = spark.createDataFrame([(i, f"common word{i % 3} only{i}") for i in range(9)], "doc_id bigint, text string")
+    sets = docs.select("doc_id", similarity.word_set("text").alias("words"))
+    ranked = sets.select("doc_id", "words", similarity.by_rarity(similarity.rarity(sets)).alias("ranked"))
+    assert "Exchange" not in ranked._jdf.queryExecution().executedPlan().toString()
+    common, = spark.range(1).select(F.xxhash64(F.lit("common"))).first()
+    for r in ranked.collect():
+        assert sorted(r.words) == sorted(r.ranked) and r.ranked[-1] == common
