@@ -322,3 +322,12 @@ def test_words_are_ranked_without_a_shuffle_of_texts(spark):
     common, = spark.range(1).select(F.xxhash64(F.lit("common"))).first()
     for r in ranked.collect():
         assert sorted(r.words) == sorted(r.ranked) and r.ranked[-1] == common
+
+
+def test_classified_text_is_lowered_once(spark):
+    from landq.operators.dictionary import classify_document
+    texts = spark.createDataFrame([(1, "Sale DEED, vendor and Vendor"), (2, None), (3, "KHASRA and khata"), (4, "")], "id int, t string")
+    found = texts.select("id", classify_document(F.col("t")).alias("c"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") <= 2
+    assert [(r["id"], r["c"]["detected_type"]) for r in found.orderBy("id").collect()] == [
+        (1, "Registered Sale Deed"), (2, "Registered Sale Deed"), (3, "Khasra / Khatauni Register"), (4, "Registered Sale Deed")]
