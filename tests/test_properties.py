@@ -331,3 +331,29 @@ def test_classified_text_is_lowered_once(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") <= 2
     assert [(r["id"], r["c"]["detected_type"]) for r in found.orderBy("id").collect()] == [
         (1, "Registered Sale Deed"), (2, "Registered Sale Deed"), (3, "Khasra / Khatauni Register"), (4, "Registered Sale Deed")]
+
+
+def test_labels_are_looked_for_where_they_can_start():
+    import re
+
+    from landq import patterns
+    from landq.operators.extract import led
+    text = "İ no. villages; VILLAGE: Rampur\nmouza=x, 12-3-2020 श्री, Owner - Ram"
+    for table in (patterns.SALE_DEED, patterns.KHASRA, patterns.CADASTRAL_MAP, patterns.MUTATION_ORDER):
+        for pattern in (p for alternatives in table.values() for p in alternatives):
+            plain, ahead = (re.search(p.replace(r"\p{L}\p{M}\p{N}", r"\w"), text, re.I | re.A) for p in (pattern, led(pattern)))
+            assert (plain and plain.span()) == (ahead and ahead.span()), pattern
+    assert led(patterns.SALE_DEED["village"][0]).startswith("(?=[") and led(patterns.MUTATION_ORDER["order_date"][0]).startswith(r"(?=[0-9])\b")
+
+
+def test_routed_texts_make_the_rows_of_their_kind_only(spark):
+    from landq import dims
+    from landq.operators.extract import route_and_score
+    texts = spark.createDataFrame([(1, "Sale deed", "Village: Rampur"), (2, "mutation", "Order No 7\n0.25 Acres\nB RAO\nTahasildar"), (3, None, None)],
+                                  "doc_id int, document_type string, ocr_raw_text string")
+    rows = route_and_score(texts)
+    assert "Filter" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["doc_id"], r["field_name"]): r["value"] for r in rows.collect()}
+    assert got[1, "village"] == "Rampur" and got[2, "order_number"] == "7" and got[2, "land_area"].startswith("0.25 Acres")
+    assert {d: sum(k[0] == d for k in got) for d in (1, 2, 3)} == {1: 25, 2: 19, 3: 25}
+    assert {r["document_type"] for r in rows.select("document_type").collect()} == {dims.SALE_DEED, dims.MUTATION_ORDER}
