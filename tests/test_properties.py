@@ -324,6 +324,12 @@ def test_words_are_ranked_without_a_shuffle_of_texts(spark):
         assert sorted(r.words) == sorted(r.ranked) and r.ranked[-1] == common
 
 
+def test_shared_elements_are_found_by_halving():
+    from landq.functions.distance import shared
+    asked = []
+    assert shared(1_000_000, lambda x, y: asked.append(y) or y <= 765_432) == 765_432 and len(asked) <= 21
+
+
 def test_classified_text_is_lowered_once(spark):
     from landq.operators.dictionary import classify_document
     texts = spark.createDataFrame([(1, "Sale DEED, vendor and Vendor"), (2, None), (3, "KHASRA and khata"), (4, "")], "id int, t string")
