@@ -1,4 +1,4 @@
-"""Line dedup by an exact set-similarity join: tokens by rarity, prefix, length and positional filters, Jaccard on whole sets.
+"""Line dedup by an exact set-similarity join: tokens by rarity, keys of neighbours in that order, length and parity filters, Jaccard on whole sets.
 
 Built-in functions only. Token sets are hashed once, into a table of the shared folder that all later steps read.
 """
@@ -8,7 +8,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landq.llm.common import drop_spools, small_batches, spool
@@ -18,7 +18,7 @@ from landq.llm.components import link_groups
 LEAST_TOKENS, EVERY = 4, 1
 #: Counters that tokens are counted in by hash. Only the order of tokens depends on them, never which lines are linked.
 COUNTERS = 1 << 18
-#: Classes of lines that share a token and meet without a lead.
+#: Classes of lines that share a key and meet without a lead; more meet leads, then by a second key.
 SMALL = 16
 BLANKS = "\t\x0b\x0c\r"
 
@@ -57,17 +57,43 @@ def rarity(lines: DataFrame) -> Column:
     return F.split(F.lit(text), ",").cast("array<tinyint>")
 
 
-def prefix(levels: Column, percent: int) -> Column:
-    """The rarest tokens of a line, rarest first, as hashes: two linked lines share one of theirs."""
-    order = F.transform("tokens", lambda t: F.shiftleft(F.get(levels, counter(t)).cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(t, 8)))
-    length = F.expr(f"n - (n * {percent} + 99) div 100 + 1").cast("int")
-    return F.transform(F.slice(F.sort_array(order), F.lit(1), length), lambda x: F.hash(x))
+def by_rarity(levels: Column) -> Column:
+    """The tokens of a line, rarest first, as longs that sort in that order."""
+    return F.sort_array(F.transform("tokens", lambda t: F.shiftleft(F.get(levels, counter(t)).cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(t, 8))))
 
 
-def parity(tokens: str) -> Column:
-    """64 bits, each the parity of the tokens that fall on it: two sets differ in as many tokens at least as their bits differ."""
-    return F.aggregate(tokens, F.lit(0).cast("bigint"), lambda bits, t: bits.bitwiseXOR(
-        F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.shiftrightunsigned(t, 20), F.lit(64)).cast("int"))))
+def parted(percent: int) -> str:
+    """How many neighbours of a line of n tokens are none in a linked line at most, of those ahead of the first that is."""
+    return f"((200 - 2 * {percent}) * n) div 100"
+
+
+def enough(percent: int) -> str:
+    """Whether a line has so many neighbours that any linked line has two of them."""
+    return f"n - 1 >= {parted(percent)} + 2"
+
+
+def keys(order: Column, percent: int) -> Column:
+    """Hashes of 40 bits of each two neighbours in the order of rarity, rarest first: two linked lines share one of theirs.
+
+    With a tokens of this line alone and b of the other alone, 2a + b neighbours of this line at most are none of the other. For linked
+    lines that is (200 - 2 percent) / 100 * n at most, reached where the other line has nothing else. So the first neighbours of both
+    lie behind that many others. One key more is there to narrow crowded buckets. Lines too short for that have their rarest tokens
+    as keys too, the usual prefix.
+    """
+    short = F.shiftrightunsigned  # 40 of 64 bits: few chance meetings also among 10^9 keys, and fewer bytes to move
+    near = F.transform(F.slice(order, F.lit(1), F.expr(f"cast(least(n - 1, {parted(percent)} + 2) as int)")),
+                       lambda x, i: short(F.xxhash64(x, F.get(order, i + 1)), 24))
+    rarest = F.transform(F.slice(order, F.lit(1), F.expr(f"cast(n - (n * {percent} + 99) div 100 + 1 as int)")), lambda x: short(F.xxhash64(x), 24))
+    return F.when(F.expr(enough(percent)), near).otherwise(F.concat(near, rarest))
+
+
+def parity(tokens: str, low: int) -> Column:
+    """64 bits, each the parity of the tokens that fall on it: two sets differ in as many tokens at least as their bits differ.
+
+    Of 128 places those from `low` on, 0 or 64, are taken."""
+    place = lambda t: F.pmod(F.shiftrightunsigned(t, 20), F.lit(128)).cast("int") - low
+    return F.aggregate(tokens, F.lit(0).cast("bigint"), lambda bits, t: F.when(
+        place(t).between(0, 63), bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), place(t)))).otherwise(bits))
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -87,20 +113,35 @@ def repeated_lines(docs: DataFrame, limit: float = 0.8, least: int = LEAST_TOKEN
     small_batches(docs.sparkSession)
     percent = round(100 * limit)
     lines = spool(line_sets(docs), "lines").filter(F.col("n") >= least)
-    rows = lines.select("doc_id", "copy", "line_no", "item", "n", parity("tokens").alias("bits"), prefix(rarity(lines), percent).alias("prefix"))
-    classes = spool(rows.groupBy("item").agg(F.min(F.struct("doc_id", "copy", "line_no")).alias("first"), F.count("*").alias("lines"),
-                                             F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")), "line-classes")
+    rows = lines.select("doc_id", "copy", "line_no", "item", "n", parity("tokens", 0).alias("bits"), parity("tokens", 64).alias("more"),
+                        by_rarity(rarity(lines)).alias("order")).withColumn("keys", keys(F.col("order"), percent)).drop("order")
+    keyed = spool(rows.groupBy("item").agg(F.min(F.struct("doc_id", "copy", "line_no")).alias("first"), F.count("*").alias("lines"),
+                                           *[F.first(c).alias(c) for c in ("n", "bits", "more", "keys")]), "line-keys")
     # A set of n can be linked to another one only if n / (n + 1) reaches the limit; smaller ones are linked to equal sets alone.
-    entries = classes.filter(f"n * 100 >= (n + 1) * {percent}").select("item", "n", "bits", F.posexplode("prefix").alias("place", "bucket"))
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    buckets = spool(entries.join(shared, "bucket"), "line-buckets")
-
-    # Length filter; positional filter: up to its first shared token a pair has nothing in common, so some bucket of a
-    # linked pair leaves both enough tokens. Lengths m, n need an overlap of limit / (1 + limit) * (m + n), so they differ
-    # in (1 - limit) / (1 + limit) * (m + n) tokens at most, and in no more bits.
+    able = keyed.filter(f"n * 100 >= (n + 1) * {percent}").select("item", "n", "bits", "more", "keys")
+    entries = able.select(F.explode(F.expr(f"slice(keys, 1, size(keys) - cast({enough(percent)} as int))")).alias("bucket"), "item")
+    shared = spool(entries.withColumn("size", F.count("*").over(Window.partitionBy("bucket"))).filter("size > 1"), "line-shared")
+    buckets = spool(shared.join(able.drop("keys"), "item"), "line-buckets")
+    crowd = spool(able.select("item", "keys").join(shared.filter(F.col("size") > SMALL).select("item").distinct(), "item", "left_semi"), "line-crowds")
+    classes = spool(keyed.drop("keys"), "line-classes")
+    drop_spools(shared, keyed)  # the keys are most of what is on disk, and from here on few of them are wanted
+
+    # Lengths m, n need an overlap of limit / (1 + limit) * (m + n), so they differ in (1 - limit) / (1 + limit) * (m + n)
+    # tokens at most, and in no more bits.
     close = F.expr(f"least(n_x, n_y) * 100 >= greatest(n_x, n_y) * {percent} and "
-                   f"least(n_x - place_x, n_y - place_y) * {100 + percent} >= (n_x + n_y) * {percent} and "
-                   f"bit_count(bits_x ^ bits_y) * {100 + percent} <= (n_x + n_y) * {100 - percent}")
+                   f"(bit_count(bits_x ^ bits_y) + bit_count(more_x ^ more_y)) * {100 + percent} <= (n_x + n_y) * {100 - percent}")
+
+    def narrowed(open_: DataFrame) -> DataFrame:
+        """Each item once for each key behind that of its bucket: linked lines whose first common key is the bucket's share a second one.
+
+        Where that isn't sure for want of keys, the item stays in the bucket itself too."""
+        held = open_.join(crowd, "item")
+        later = F.transform(F.slice("keys", F.array_position("keys", F.col("bucket")).cast("int") + 1, F.size("keys")), lambda key: F.xxhash64("bucket", key))
+        dealt = F.when(F.expr(enough(percent)), later).otherwise(F.concat(F.array("bucket"), later))
+        rows = held.select(F.explode(dealt).alias("bucket"), "item", "component")
+        own = Window.partitionBy("bucket")
+        mixed = rows.withColumn("low", F.min("component").over(own)).withColumn("high", F.max("component").over(own)).filter("low < high")
+        return mixed.drop("low", "high").join(classes.select("item", "n", "bits", "more"), "item")
 
     def links_of(pairs: DataFrame) -> DataFrame:
         near = spool(pairs.select("a", "b").distinct(), "line-pairs")
@@ -111,7 +152,7 @@ def repeated_lines(docs: DataFrame, limit: float = 0.8, least: int = LEAST_TOKEN
         drop_spools(near, sets)
         return links
 
-    joined = link_groups(buckets, links_of, rounds=2, close=close, small=SMALL)
+    joined = link_groups(buckets, links_of, rounds=2, close=close, small=SMALL, narrow=narrowed, near=close)
     groups = classes.join(joined.withColumnRenamed("node", "item"), "item", "left").withColumn("group", F.coalesce("component", "item"))
     firsts = groups.groupBy("group").agg(F.min("first").alias("head"), F.sum("lines").alias("lines")).filter("lines > 1")
     members = groups.join(firsts, "group").select("item", "group", "head")

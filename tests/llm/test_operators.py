@@ -278,6 +278,32 @@ def test_line_join_in_large_buckets(spark):
     assert got == {i: int(r != i) for i, r in enumerate(root)}
 
 
+def test_line_join_meets_few_pairs(spark, monkeypatch):
+    """Long lines of one small vocabulary share rare tokens with many others; few of those pairs may come to the comparison of whole sets."""
+    rng = np.random.RandomState(8)
+    texts = [" ".join(f"v{x}" for x in rng.choice(400, 200, replace=False)) for _ in range(120)]
+    texts += [t.replace("v7 ", "w7 ") for t in texts[:5]]
+    met, whole = [], lines.similar
+    monkeypatch.setattr(lines, "similar", lambda pairs, *rest: met.append(pairs.count()) or whole(pairs, *rest))
+    got = {r.doc_id: r.n_removed for r in lines.line_report(docs_of(spark, list(enumerate(texts)))).collect()}
+    assert got == {i: int(r != i) for i, r in enumerate(groups([set(t.split()) for t in texts]))}
+    assert sum(met) < 100
+
+
+@pytest.mark.parametrize("limit", [0.4, 0.65, 0.8, 0.9])
+def test_line_join_at_any_limit(spark, limit):
+    rng = np.random.RandomState(11)
+    texts = []
+    for i in range(150):
+        words = [f"b{i % 5}_{x}" for x in range(4 + 3 * (i % 5))]
+        for at in rng.choice(len(words), rng.randint(len(words) // 2 + 1), replace=False):
+            words[at] = f"x{rng.randint(8)}"
+        texts.append(" ".join(words[rng.randint(3):]))
+    root = groups([set(t.split()) for t in texts], round(100 * limit))
+    got = {r.doc_id: r.n_removed for r in lines.line_report(docs_of(spark, list(enumerate(texts))), limit, least=lines.EVERY).collect()}
+    assert got == {i: int(r != i) for i, r in enumerate(root)}
+
+
 def signatures(spark, texts):
     """The signature set of each text by a plain walk over its words; only the hash itself is asked of Spark."""
     common, found = set(spotsigs.ANCHORS), []
