@@ -363,3 +363,19 @@ def test_routed_texts_make_the_rows_of_their_kind_only(spark):
     assert got[1, "village"] == "Rampur" and got[2, "order_number"] == "7" and got[2, "land_area"].startswith("0.25 Acres")
     assert {d: sum(k[0] == d for k in got) for d in (1, 2, 3)} == {1: 25, 2: 19, 3: 25}
     assert {r["document_type"] for r in rows.select("document_type").collect()} == {dims.SALE_DEED, dims.MUTATION_ORDER}
+
+
+def test_fields_are_not_sorted_to_be_marked(spark):
+    fields = spark.createDataFrame([(1, 7, False, True), (2, 7, True, True), (3, 8, False, True), (4, None, True, False), (4, None, True, False)],
+                                   "field_id int, land_record_id int, is_verified boolean, requires_review boolean")
+    approved = spark.createDataFrame([(7,), (7,), (None,)], "id int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = workflow.mark_fields_verified(fields, approved)
+        got = sorted((r.field_id, r.is_verified, r.requires_review) for r in out.collect())
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == [(1, True, False), (2, True, False), (3, False, True), (4, True, False), (4, True, False)]
+    assert "SortMergeJoin" not in plan
