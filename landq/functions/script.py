@@ -35,14 +35,19 @@ def detect_languages(text: Column | str) -> Column:
     Marathi, or Bengali and Assamese, are told apart by marker words.
     """
     value = F.coalesce(_col(text), F.lit(""))
-    latin_only = ~value.rlike("[^\\x00-\\x7F]")
+    high = F.regexp_replace(value, r"[\x00-\x7F]+", "")
 
-    def letters(language: tuple) -> Column:
-        n = F.regexp_count(value, F.lit(block_class(language[4])))
-        return n if language[0] == "en" else F.when(latin_only, 0).otherwise(n)
-    counts = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(lang[0]).alias("code"), F.lit(lang[1]).alias("name"),
-                                F.lit(lang[3]).alias("script"), letters(lang).alias("count"))
-                       for i, lang in enumerate(counted_languages())])
+    def letters(language: tuple, low: Column, high: Column) -> Column:
+        """What is left without the runs of other characters; blocks beyond ASCII are looked for in what is beyond ASCII alone."""
+        outside = "[^" + block_class(language[4])[1:-1] + "]+"
+        if min(a for a, _ in language[4]) < 0x80:
+            return F.length(F.regexp_replace(low, outside, ""))
+        return F.when(high == "", 0).otherwise(F.length(F.regexp_replace(high, outside, "")))
+
+    def counts(s: Column) -> Column:
+        return F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(lang[0]).alias("code"), F.lit(lang[1]).alias("name"),
+                                  F.lit(lang[3]).alias("script"), letters(lang, s["low"], s["high"]).alias("count"))
+                         for i, lang in enumerate(counted_languages())])
 
     def shares(c: Column) -> Column:
         total = F.aggregate(c, F.lit(0), lambda a, x: a + x["count"])
@@ -69,8 +74,9 @@ def detect_languages(text: Column | str) -> Column:
             F.transform(d, lambda x, i: F.struct(F.when(i == 0, code).otherwise(x["code"]).alias("code"),
                                                  (-x["neg"]).alias("percentage"), x["count"].alias("count"))).alias("distribution"))
 
-    # One-element arrays carry the counts and shares, so each is computed once.
-    step = F.transform(F.transform(F.array(counts), shares), described)
+    # One-element arrays carry the parts, counts and shares, so each is computed once.
+    parts = F.array(F.struct(value.alias("low"), high.alias("high")))
+    step = F.transform(F.transform(F.transform(parts, counts), shares), described)
     return F.get(step, F.lit(0))
 
 

@@ -155,3 +155,16 @@ def test_expensive_texts_are_not_repeated(spark):
     from landq.plans import catalog
     plan = catalog.queries()["TX05_detect_language"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_join") == 1
+
+
+def test_letters_of_a_language_are_counted_in_runs(spark):
+    given = [("Deed 12, सर्वे १२ नं \U0001f600 దస్తావేజు é",), ("plain text",), ("१२३",), ("",), (None,)]
+    frame = spark.createDataFrame(given, "text string")
+    found = frame.select("text", script.detect_languages("text").alias("l"))
+    for row in found.collect():
+        value = row.text or ""
+        count = {lang[0]: sum(any(a <= ord(c) <= b for a, b in lang[4]) for c in value) for lang in script.counted_languages()}
+        total = sum(count.values())
+        assert {d.code: d["count"] for d in row.l.distribution} == {k: n for k, n in count.items() if n and round(n / total * 100, 1) >= 3}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan  # a list entry for every letter
