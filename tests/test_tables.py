@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from landq.operators import filters, joins
-from landq.sources import sinks
+from landq.sources import sinks, views
 from landq.streaming import registrations
 
 
@@ -96,3 +96,23 @@ def test_late_and_repeated_registrations(spark, tmp_path):
     got = sorted(r.registration_number for r in spark.read.parquet(out).collect())
     assert got == sorted(f"R{d}" for d in range(100))
     assert max(kept) <= 15
+
+
+def test_fields_are_a_row_for_each_ordinal_and_only_the_read_columns_are_made(spark, tmp_path):
+    day = datetime.datetime(1995, 3, 4)
+    tables = {
+        "orders": ([(i, 1 + i % 2, "FOP"[i % 3], 1.0, day, "1-URGENT") for i in [*range(1, 120), 7, 7]], "o_orderkey bigint, o_custkey bigint, "
+                   "o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"),
+        "customer": ([(1, "Ann", 1, "A"), (2, None, 1, "B")], "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string"),
+        "nation": ([(1, "N", 1)], "n_nationkey int, n_name string, n_regionkey int"), "region": ([(1, "R")], "r_regionkey int, r_name string")}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    v = views.Views(spark, str(tmp_path))
+    want = [v.lr.where(row["present"]).selectExpr(*[f"{e} as {c}" for c, e in row.items() if c != "present"]) for row in views.FIELD_ROWS]
+    both = want[0]
+    for other in want[1:]:
+        both = both.unionByName(other)
+    assert v.fields.columns == both.columns and [f.dataType for f in v.fields.schema] == [f.dataType for f in both.schema]
+    assert sorted(map(repr, v.fields.collect())) == sorted(map(repr, both.collect()))
+    plan = v.fields.select("field_id", "ordinal")._jdf.queryExecution().optimizedPlan().toString()
+    assert " rev" not in plan and "Cents" not in plan
