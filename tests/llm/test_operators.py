@@ -101,6 +101,27 @@ def test_token_memo_is_bounded():
         assert all(len(w) <= tokens.MEMO_LENGTH for w in memo.words)
 
 
+def test_new_words_of_letters_go_to_the_tokenizer_many_at_once():
+    from tokenizers import Tokenizer
+    whole, calls = Tokenizer.from_file(WORDS), []
+
+    class Counted:
+        model, get_vocab, get_vocab_size = whole.model, whole.get_vocab, whole.get_vocab_size
+
+        def encode_batch_fast(self, texts, add_special_tokens):
+            calls.append(len(texts))
+            return whole.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    plain = lambda texts: [struct.pack(f"<{len(e)}I", *e.ids) for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    words = ["word" + chr(97 + i // 26) + chr(97 + i % 26) for i in range(600)] + ["\u4e00", "Stra\u00dfe", "\u03a3\u03a3", "don't", "", "a b", "x,"]
+    assert tokens.in_groups(Counted(), "</w>", plain)(words) == plain(words)
+    assert calls == [1, 1, 1]
+    odd = ["\u0130", "\ufb2a", *words]  # these two are two pretokens each, once normalized
+    assert tokens.in_groups(Counted(), "</w>", plain)(odd) == plain(odd)
+    memo = tokens.library_memo(WORDS, False)
+    assert memo.ids([" ".join(odd)]) == plain([" ".join(odd)])
+
+
 def test_planes():
     for ids in ([0], [1, 70000, 5], list(range(300)), [2 ** 32 - 1, 0]):
         for bits in (False, True):
