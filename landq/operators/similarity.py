@@ -14,22 +14,19 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landq.session import checkpointed, written
-
-Test = Callable[[str, str], Column]
-
+from landq.functions.text import let
+from landq.session import checkpointed, discard, transient_shuffles, written
 
 #: Items of a key that all meet, and how often an overfull key is lengthened; at the last length all meet whatever their number.
 FULL, LENGTHS = 64, 6
 
 
 def partnered(postings: DataFrame, light: list[str], fits: Callable[[str, str, int], Column], lengthen: Callable[[DataFrame, int], DataFrame],
-              heavy: DataFrame | None = None, verify: Test | None = None, full: int = FULL, lengths: int = LENGTHS) -> DataFrame:
+              full: int = FULL, lengths: int = LENGTHS) -> DataFrame:
     """Ids (`gid`) of the items that have a similar item.
 
     `postings` has gid, key and the `light` columns. `fits` tests a pair that shares a key on those, given the prefixes of
-    the two sides and the length of the key (from 1 on). The columns of `heavy` (with `gid`) are fetched for the surviving
-    pairs only, and `verify` decides. `lengthen` gives postings with longer keys for those of overfull keys: a similar pair
+    the two sides and the length of the key (from 1 on). `lengthen` gives postings with longer keys for those of overfull keys: a similar pair
     that shares a key must share a longer one, too.
     """
     def side(df: DataFrame, prefix: str, *more: str) -> DataFrame:
@@ -46,11 +43,6 @@ def partnered(postings: DataFrame, light: list[str], fits: Callable[[str, str, i
         pairs = side(few, "a_", "key").join(side(few, "b_", "key"), "key").where("a_gid < b_gid").unionByName(
             leads.join(side(many, "b_", "key"), "key").where("a_gid <> b_gid"))
         pairs = pairs.where(fits("a_", "b_", level))
-        if verify:
-            pairs = pairs.select("a_gid", "b_gid").distinct()
-            for prefix in ("a_", "b_"):
-                pairs = pairs.join(heavy.select(*[F.col(c).alias(prefix + c) for c in heavy.columns]), f"{prefix}gid")
-            pairs = pairs.where(verify("a_", "b_"))
         found = pairs.select(F.explode(F.array("a_gid", "b_gid")).alias("gid")).distinct()
         settled = checkpointed(found if settled is None else settled.unionByName(found).distinct())
         if level == lengths or keys.where("not all").isEmpty():
@@ -85,7 +77,7 @@ def _documents_with_partner(documents: DataFrame, groups: DataFrame, signature:
 def word_set(column: str) -> Column:
     """Hashes of the different words of a text, ascending."""
     words = F.array_remove(F.split(F.lower(F.trim(column)), r"\s+"), "")
-    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
 #: Counters that words are counted in by hash. Only the order of words depends on them, never which texts are similar.
@@ -109,57 +101,153 @@ def rarity(sets: DataFrame) -> Column:
     return F.split(F.lit(text), ",").cast("array<tinyint>")
 
 
+#: Bits of the map that most of what a join would drop is left out by before.
+MAP_BITS = 1 << 22
+
+
+def among(some: DataFrame, column: str) -> Column:
+    """True where `column` is one of those in `some`, and for a few others: a map of MAP_BITS bits, as a literal of the tasks."""
+    bit = F.pmod(F.xxhash64(column), F.lit(MAP_BITS))
+    part, mask = F.shiftright(bit, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(63).cast("int"))
+    marks = some.select(part.alias("part"), mask.alias("mask")).groupBy("part").agg(F.bit_or("mask").alias("mask"))
+    every = some.sparkSession.range(MAP_BITS // 64).select(F.col("id").cast("int").alias("part")).join(marks, "part", "left")
+    text = every.select(F.struct("part", F.coalesce("mask", F.lit(0)).alias("mask")).alias("x")).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["mask"].cast("string")), ",")).first()[0]
+    return F.get(F.split(F.lit(text), ",").cast("array<bigint>"), part).bitwiseAND(mask) != 0
+
+
 def by_rarity(levels: Column) -> Column:
     """`words` from rare to common, the same order in all texts."""
     ordered = F.sort_array(F.transform("words", lambda w: F.struct(F.get(levels, counter(w)).alias("level"), w.alias("word"))))
     return F.transform(ordered, lambda x: x["word"])
 
 
+def rarity_ranks(levels: Column) -> Column:
+    """`words` from rare to common as plain numbers, which sort fast: the level, then 56 bits of the word's hash.
+
+    Good for keys only: words that agree in those bits look alike, so sets meet in vain.
+    """
+    return F.sort_array(F.transform("words", lambda w: F.call_function("shiftleft", F.get(levels, counter(w)).cast("bigint"), F.lit(56)).bitwiseOR(
+        F.shiftrightunsigned(w, 8))))
+
+
+#: Most words of a key.
+LONGEST = 5
+
+
+def smallest(threshold: float, words: int) -> int:
+    """Size from which on two similar sets, ordered alike, always have so many neighbours in common.
+
+    Of `d` words that only one of the sets has, each parts what is common once, and they leave c - d (words - 1) >= words. In a set
+    of n the words before the first such neighbours, and those it lacks, are fewer than words (1 - t) n (see `prefix_keys`).
+    """
+    def enough(n: int) -> bool:
+        return n - (math.ceil(words * (1 - threshold) * n - 1e-6) - 1) >= words
+    n = math.ceil(words / (1 - words * (1 - threshold)))  # enough from here on
+    while n > 1 and enough(n - 1):
+        n -= 1
+    return n
+
+
+def key_lengths(threshold: float) -> list[int]:
+    """How many neighbours a key has, at first and where keys are overfull; 1, an exact prefix filter, for low thresholds.
+
+    Sets that differ are similar only if they have more than 1 / (1 - t) words together, so the first length must do for those.
+    """
+    fit = [g for g in range(2, LONGEST + 1) if g * (1 - threshold) < 0.95 and g - 1 <= g * threshold]
+    return fit if fit and smallest(threshold, fit[0]) <= least_words(threshold) else [1, *fit]
+
+
+def least_words(threshold: float) -> int:
+    return math.floor(1 / (1 - threshold) - 1e-6) if threshold < 1 else 1
+
+
+def prefix_keys(words: Column, size: Column, threshold: float, length: int) -> Column:
+    """Hashes of `length` neighbours in `words`, from the first on, so many that similar sets share one.
+
+    Say the first shared neighbours stand behind a words that only this set has and b that only the other has. Runs of common words
+    between those are shorter than `length`, so a + (a + b) (length - 1) words stand before them at most. Of similar sets, a + t b is
+    under (1 - t) n, and so that is under length (1 - t) n if (length - 1) / t <= length.
+    """
+    last = F.least(size - length, F.floor(size * F.lit(length * (1 - threshold)) + 1e-6).cast("int"))
+    return let(words, lambda w: F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(length)])))
+
+
 def similar_texts(documents: DataFrame, text: str = "ocr_raw_text", threshold: float = 0.85, min_chars: int = 50,
                   full: int = FULL) -> DataFrame:
     """Documents (doc_id, land_record_id) whose word set has a Jaccard similarity above the threshold with another's.
 
-    Equal word sets are grouped first. Prefix filtering gives the keys: with words ordered from rare to common, two
-    similar sets share a word among the first n - ceil(t n) + 1, and d words among the first n - ceil(t n) + d. So a key of
-    the first d words that two sets share is a key of both; keys with more than `full` sets get a word more.
+    Equal word sets are grouped first. With words ordered from rare to common, similar sets share neighbours in that order among
+    their first ones (`prefix_keys`); these are the keys. All sets of a key meet its lowest one, which settles near copies. Those still
+    open meet the others of their keys; of keys with more than `full` sets only the small ones do, and the rest get longer keys. Word
+    sets are written once and fetched for pairs only that pass by size and place.
     """
+    transient_shuffles(documents.sparkSession)
     usable = documents.where(F.length(F.trim(text)) > min_chars).select("doc_id", "land_record_id", word_set(text).alias("words"))
     usable = usable.where(F.size("words") > 0)
-    usable = written(usable.select("doc_id", "land_record_id", by_rarity(rarity(usable)).alias("ranked"), F.concat_ws(
+    usable = written(usable.select("doc_id", "land_record_id", "words", F.size("words").alias("n"), F.concat_ws(
         ":", F.xxhash64("words"), F.xxhash64(F.lit(1), "words")).alias("code")), "word-sets")
     signature = F.col("code")
-    groups = written(grouped_copies(usable, signature, ["ranked"]), "text-groups")
-    items = groups.select("gid", "only", F.size("ranked").alias("n"), "ranked")
-    size = F.size("ranked")
-
-    def last(length: int) -> Column:
-        """Words of the prefix in which similar sets share `length` words at least."""
-        return F.least(size, size - F.ceil(size * F.lit(threshold)).cast("int") + length)
-
-    def lengthen(some: DataFrame, length: int) -> DataFrame:
-        longer = some.join(items.select("gid", "ranked"), "gid").withColumn("old", F.col("pos"))
-        return longer.select("gid", "key", "n", "only", "old", F.posexplode(F.slice("ranked", F.lit(1), last(length + 1))).alias("pos", "word")).where(
-            "pos > old").select("gid", F.xxhash64("key", "word").alias("key"), "n", "only", "pos")
+    groups = written(grouped_copies(usable.drop("words"), signature, ["n"]), "text-groups")
+    ranked, lengths = rarity_ranks(rarity(usable)), key_lengths(threshold)
+    chosen = groups.where(F.col("n") >= least_words(threshold)).select("gid", F.col("signature").alias("code"))
+    settled = None
 
-    first = items.select("gid", "n", "only", F.posexplode(F.slice("ranked", F.lit(1), last(1))).alias("pos", "key"))
+    def sets_of(ids: DataFrame, value: Column) -> DataFrame:
+        """`value` of the word sets of the groups in `ids` (gid, code). Where those are few, most others don't reach the join."""
+        sets = usable.select(F.col("doc_id").alias("gid"), "code", "n", "words")
+        if ids is chosen:
+            return sets.select("gid", "code", value.alias("value")).join(ids, ["gid", "code"], "left_semi").select("gid", "value")
+        return sets.where(among(ids, "code")).join(ids, ["gid", "code"], "left_semi").select("gid", value.alias("value"))
 
-    def fits(a: str, b: str, length: int) -> Column:
-        """Sizes are close enough, and enough words follow the last shared one of the key on both sides.
+    def fits(length: int) -> Column:
+        """Sizes are close enough, and enough words can be common before the shared neighbours and from them on.
 
-        The key of a similar pair's first shared words passes: all others come later.
+        The first neighbours that similar sets share pass: see `prefix_keys` for what stands before them.
         """
-        small, large = F.least(f"{a}n", f"{b}n"), F.greatest(f"{a}n", f"{b}n")
-        left = F.least(F.col(f"{a}n") - F.col(f"{a}pos"), F.col(f"{b}n") - F.col(f"{b}pos")) + (length - 1)
-        needed = F.lit(threshold / (1 + threshold)) * (F.col(f"{a}n") + F.col(f"{b}n"))
-        return (small > F.lit(threshold) * large) & (left + 1e-6 >= needed) & different_owner(a, b)
-
-    def verify(a: str, b: str) -> Column:
-        common = F.size(F.array_intersect(f"{a}ranked", f"{b}ranked"))
-        union = F.size(f"{a}ranked") + F.size(f"{b}ranked") - common
-        return common / union > threshold
-
-    partners = partnered(first, ["n", "only", "pos"], fits, lengthen, items.select("gid", "ranked"), verify, full)
-    return _documents_with_partner(usable, groups, signature, partners)
+        a, b = F.col("a.pos"), F.col("b.pos")
+        small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
+        before = F.least(F.floor((a + b) * (length - 1) / (2 * length - 1)), a, b)
+        needed = F.lit(threshold / (1 + threshold)) * (F.col("a.n") + F.col("b.n"))
+        owners = F.coalesce(F.col("a.only") != F.col("b.only"), F.lit(True))
+        return ((F.col("a.gid") != F.col("b.gid")) & (small > F.lit(threshold) * large) & owners
+                & (before + F.least(F.col("a.n") - a, F.col("b.n") - b) + 1e-6 >= needed))
+
+    def settle(pairs: DataFrame) -> DataFrame:
+        """Ids settled so far and of the pairs that are similar."""
+        pairs = checkpointed(pairs.select(F.least("a.gid", "b.gid").alias("a_gid"), F.greatest("a.gid", "b.gid").alias("b_gid")).distinct())
+        asked = pairs.select(F.explode(F.array("a_gid", "b_gid")).alias("gid")).distinct()
+        sets = sets_of(checkpointed(chosen.join(asked, "gid", "left_semi")), F.col("words"))
+        met = pairs.join(sets.select(F.col("gid").alias("a_gid"), F.col("value").alias("a")), "a_gid").join(
+            sets.select(F.col("gid").alias("b_gid"), F.col("value").alias("b")), "b_gid")
+        common = F.size(F.array_intersect("a", "b"))
+        similar = met.where(common / (F.size("a") + F.size("b") - common) > threshold)
+        found = similar.select(F.explode(F.array("a_gid", "b_gid")).alias("gid")).distinct()
+        return checkpointed(found if settled is None else settled.unionByName(found).distinct())
+
+    some = chosen
+    for length, longer in zip(lengths, [*lengths[1:], None]):
+        keys = sets_of(some, F.when(F.col("n") >= length, prefix_keys(ranked, F.col("n"), threshold, length)))
+        keys = written(keys.select("gid", F.posexplode("value").alias("pos", "key")), "keys")
+        shared = keys.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1")
+        members = keys.join(shared, "key").join(groups.select("gid", "n", "only"), "gid")
+        members = written(members.select("key", "sets", F.struct("gid", "pos", "n", "only").alias("set")), "shared-keys")
+        discard(keys)
+        leads = members.groupBy("key").agg(F.min("set").alias("a"))
+        settled = settle(leads.join(members.select("key", F.col("set").alias("b")), "key").where(fits(length)))
+        still = members.where("sets > 2").join(settled, F.col("set.gid") == settled["gid"], "left_anti")
+        meet = still.select("key", "sets", F.col("set").alias("a")).join(members.select("key", F.col("set").alias("b")), "key")
+        if longer is not None:
+            meet = meet.where((F.col("sets") <= full) | (F.least("a.n", "b.n") < smallest(threshold, longer)))
+        settled = settle(meet.where(fits(length)))
+        if longer is None:
+            break
+        crowded = still.where(F.col("sets") > full).join(settled, F.col("set.gid") == settled["gid"], "left_anti").select("key").distinct()
+        ids = checkpointed(members.join(crowded, "key", "left_semi").select("set.gid").distinct())
+        if ids.isEmpty():
+            break
+        some = checkpointed(chosen.join(ids, "gid", "left_semi"))
+    return _documents_with_partner(usable, groups, signature, settled)
 
 
 def band_keys(bands: int, spare: int) -> Column:
